@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from . import token_counts
+from . import chat, decontaminate, secrets, sentencepiece, token_counts, url_filter
 
 QUERIES = {
+    "op2_decontaminate": decontaminate.query,
+    "op5_secrets": secrets.query,
+    "op6_chat": chat.query,
+    "op8_url_filter": url_filter.query,
+    "op9_sentencepiece": sentencepiece.query,
     "op10_token_counts": token_counts.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_decontaminate": decontaminate.SQL,
+    "op6_chat": chat.SQL,
+    "op8_url_filter": url_filter.SQL,
+}
