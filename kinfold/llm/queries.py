@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, secrets, sentencepiece, token_counts, url_filter
+from . import chat, decontaminate, secrets, sentencepiece, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op2_decontaminate": decontaminate.query,
     "op5_secrets": secrets.query,
     "op6_chat": chat.query,
+    "op7_toxicity": toxicity.query,
     "op8_url_filter": url_filter.query,
     "op9_sentencepiece": sentencepiece.query,
     "op10_token_counts": token_counts.query,
