@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, secrets, sentencepiece, token_counts, toxicity, url_filter
+from . import chat, decontaminate, minhash, secrets, sentencepiece, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op2_decontaminate": decontaminate.query,
+    "op4_minhash": minhash.query,
     "op5_secrets": secrets.query,
     "op6_chat": chat.query,
     "op7_toxicity": toxicity.query,
@@ -16,6 +17,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_decontaminate": decontaminate.SQL,
+    "op4_minhash": minhash.SQL,
     "op6_chat": chat.SQL,
     "op8_url_filter": url_filter.SQL,
 }
