@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, minhash, secrets, sentencepiece, token_counts, toxicity, url_filter
+from . import chat, decontaminate, minhash, secrets, sentencepiece, suffix_dedup, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op2_decontaminate": decontaminate.query,
+    "op3_suffix_dedup": suffix_dedup.query,
     "op4_minhash": minhash.query,
     "op5_secrets": secrets.query,
     "op6_chat": chat.query,
