@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, minhash, secrets, sentencepiece, suffix_dedup, token_counts, toxicity, url_filter
+from . import additive_quantisation, chat, decontaminate, minhash, secrets, sentencepiece, suffix_dedup, token_counts, toxicity, url_filter
 
 QUERIES = {
+    "op1_additive_quantisation": additive_quantisation.query,
     "op2_decontaminate": decontaminate.query,
     "op3_suffix_dedup": suffix_dedup.query,
     "op4_minhash": minhash.query,
