@@ -6,8 +6,9 @@ content: each start of a SPAN-byte string has an anchor, the GRAM in the string
 and equal strings have equal anchors at equal places. Consecutive starts with one anchor are a segment.
 
 1. Segments are reduced to (anchor, digest of the segment, id), packed, and met by anchor. A segment that
-   a smaller document holds too is wholly covered. A segment that is first of its kind while its anchor
-   has other segments is contested: only a part of it may be covered.
+   a smaller document holds too is wholly covered. A segment that is first of its kind is contested if only
+   a part of it may be covered: another segment has its anchor and the GRAM bytes on one side (SPAN bytes
+   around the anchor reach that far on at least one side).
 2. Texts meet what was found about them and give the bytes of contested segments.
 3. The suffixes of contested segments are sorted one bucket (anchor, offset) at a time. Sample positions
    after a difference cover get ranks by the DEPTH bytes that follow, by doubling; a bucket is then sorted by the
@@ -42,7 +43,8 @@ ANCHOR_BYTES, DOC_BYTES = 12_000_000, 8_000_000
 PACK_BYTES = 24_000_000
 
 _U = np.uint64
-_H, _G = _U((1 << 48) - 1), _U((1 << 40) - 1)
+#: Bits of an anchor's hash; of a segment's digest, which ends in two hints of SIDE bits each.
+_H, _G, SIDE = _U((1 << 48) - 1), _U((1 << 36) - 1), 6
 _LOW = _U((1 << 20) - 1)
 _CHUNK = 1 << 20
 #: Shift from each residue to the cover.
@@ -64,7 +66,7 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments(b: np.ndarray) -> tuple[np.ndarray, ...]:
-    """anchor (48 bits), digest (40 bits), first start, last start and anchor's place of each segment of a text."""
+    """anchor (48 bits), digest (36 bits and two hints), first start, last start and anchor's place of each segment of a text."""
     parts = [_segments(b[i : i + _CHUNK + SPAN - 1], i) for i in range(0, max(1, len(b) - SPAN + 1), _CHUNK)]
     return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
@@ -86,7 +88,9 @@ def _segments(b: np.ndarray, base: int) -> tuple[np.ndarray, ...]:
         digest = wide[first]
         for more in (wide[first + gap], wide[last], wide[last + gap], (last - first).astype(np.uint64) * _U(64) + (place - first).astype(np.uint64)):
             digest = _mix(digest * _U(0x9E3779B97F4A7C15) + more)
-    return gram[place] & _H, digest & _G, first + base, last + base, place + base
+        side = lambda there, at: np.where(there, _U(1) + (gram[np.where(there, at, 0)] >> _U(48)) % _U((1 << SIDE) - 1), _U(0))
+        left, right = side(place - first >= GRAM, place - GRAM), side(last + SPAN - place >= 2 * GRAM, place + GRAM)
+    return gram[place] & _H, (digest & _G) << _U(2 * SIDE) | left << _U(SIDE) | right, first + base, last + base, place + base
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -199,11 +203,12 @@ def _meet(n_anchor: int, n_doc: int):
             new_h = np.concatenate(([True], h[1:] != h[:-1]))
             new_g = new_h | np.concatenate(([True], g[1:] != g[:-1]))
             lead = d[np.maximum.accumulate(np.where(new_g, np.arange(len(d)), 0))]
-            at = np.flatnonzero(new_h)
-            group = np.cumsum(new_h) - 1
-            kinds = np.add.reduceat(new_g, at)[group]
-            several = (np.minimum.reduceat(d, at) < np.maximum.reduceat(d, at))[group]
-            state = np.where(d > lead, 0, np.where((kinds > 1) & several, 1, -1))
+            state = np.where(d > lead, 0, -1)
+            more = np.add.reduceat(new_g, at := np.flatnonzero(new_h)) > 1
+            rest = np.flatnonzero(np.repeat(more, np.diff(np.append(at, len(h)))))
+            for shift in (SIDE, 0):
+                side = (g[rest] >> shift) & ((1 << SIDE) - 1)
+                state[rest[_shared(h[rest], side, g[rest], d[rest]) & (side > 0) & (state[rest] < 0)]] = 1
             h, g, d, state = (x[state >= 0] for x in (h, g, d, state))
         by = np.argsort(d, kind="stable")
         h, g, d, state = h[by], g[by], d[by], state[by]
@@ -213,6 +218,21 @@ def _meet(n_anchor: int, n_doc: int):
     return run
 
 
+def _shared(h: np.ndarray, side: np.ndarray, g: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Which segments have another kind of segment, of another document, with their anchor and hint."""
+    out = np.zeros(len(h), dtype=bool)
+    if not len(h):
+        return out
+    by = np.lexsort((d, g, side, h))
+    h, side, g, d = h[by], side[by], g[by], d[by]
+    new = np.concatenate(([True], (h[1:] != h[:-1]) | (side[1:] != side[:-1])))
+    kind = new | np.concatenate(([True], g[1:] != g[:-1]))
+    at = np.flatnonzero(new)
+    good = (np.add.reduceat(kind, at) > 1) & (np.minimum.reduceat(d, at) < np.maximum.reduceat(d, at))
+    out[by] = np.repeat(good, np.diff(np.append(at, len(h))))
+    return out
+
+
 def _squeeze(n_doc: int):
     """Texts, compressed, with their bucket of documents; what is too short to hold a string is left out."""
 
