@@ -119,9 +119,11 @@ def _unpack(blob: bytes, n_columns: int) -> list[np.ndarray]:
 
 def _deal(keys: np.ndarray, *columns: np.ndarray):
     """(key, columns of its rows) for each key, in order; rows keep their order."""
+    if not len(keys):
+        return
     by = np.argsort(keys, kind="stable")
     keys, columns = keys[by], [c[by] for c in columns]
-    edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, dtype=np.int64)
+    edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     for s, e in zip(edge, np.append(edge[1:], len(keys)), strict=True):
         yield int(keys[s]), [c[s:e] for c in columns]
 
