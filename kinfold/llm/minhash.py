@@ -26,10 +26,10 @@ MINIMA, BITS, ROWS = 128, 4, 4
 SHINGLE, LINK = 5, (80, 100)
 #: Below this estimate a pair isn't compared: seven standard deviations under a similarity of 0.8.
 LEAST_ESTIMATE = 0.55
-#: Shingles that one block of a comparison holds, about.
-BLOCK = 400_000
+#: Shingles, and texts, that one block of a comparison holds, about.
+BLOCK, BLOCK_TEXTS = 400_000, 400
 #: Word hashes kept in a worker's memory.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 
 _U = np.uint64
 _MULTIPLY = np.random.default_rng(20240607).integers(1, 1 << 63, MINIMA, dtype=np.uint64) * _U(2) + _U(1)
@@ -237,11 +237,11 @@ def _with_comps(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 def _units(ys: DataFrame, xs: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
     """Units of a comparison of the xs with the ys of each h, with their texts.
 
-    Both are dealt over so many blocks that a unit holds about BLOCK shingles of each; an x goes to every
+    Both are dealt over so many blocks that a unit holds about BLOCK shingles and BLOCK_TEXTS texts of each; an x goes to every
     block of ys and a y to every block of xs. No pairs are made here.
     """
     ys, xs = ys.join(keys, "node"), xs.join(keys, "node")
-    blocks = lambda df, name: df.groupBy("h").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias(name))
+    blocks = lambda df, name: df.groupBy("h").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int").alias(name))
     sizes = blocks(xs, "nx").join(blocks(ys, "ny"), "h")
     mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
