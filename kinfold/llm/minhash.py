@@ -4,8 +4,10 @@ Each distinct set of shingles gets a signature: the low bits of its minima, pack
 hashes of the bands of full minima. Sets that share a band are candidates. In each bucket one pivot is
 chosen, the member that shares most buckets (in a group of copies, the text closest to all); members
 are compared with pivots, by a collision-corrected estimate from bit counts first and then exactly on
-full sets. What stays apart from its pivot is compared with the pivot's other members, in blocks. So
-the work on a group grows with its size, not with its pairs, save for texts near the threshold.
+full sets. A pivot removes no member: what stays apart from its pivot, or was too far from it to be
+compared, meets all that the pivot's buckets hold, by signatures in blocks first and then exactly. So the
+work on texts grows with a group's size, not with its pairs, save for texts near the threshold; the
+work on signatures grows with what is apart from a pivot times what its buckets hold.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ SHINGLE, LINK = 5, (80, 100)
 LEAST_ESTIMATE = 0.55
 #: Shingles, and texts, that one block of a comparison holds, about.
 BLOCK, BLOCK_TEXTS = 400_000, 400
+#: Signatures that one block of a comparison holds, about, and rows of it that are compared at once.
+BLOCK_SIGNATURES, AT_ONCE = 5000, 64
 #: Word hashes kept in a worker's memory.
 CACHE_WORDS = 400_000
 
@@ -174,6 +178,44 @@ def compare(units: DataFrame, k: int, link: tuple[int, int]) -> DataFrame:
     return units.groupBy("h", "xb", "yc").applyInPandas(run, "u long, v long")
 
 
+def near(units: DataFrame, link: tuple[int, int]) -> DataFrame:
+    """h, node, comp, is_x of the rows of each unit (h, xb, yc) that may link with a row of its other side, by sizes and signatures.
+
+    ``units``: h, xb, yc, is_x, node, comp, n, sig. Gives rows, not pairs; pairs of one component are passed over.
+    """
+    need, of = link
+    chance = 2.0**-BITS
+    ones = _U(sum(1 << (BITS * i) for i in range(64 // BITS)))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("n", kind="stable")
+        x, y = (rows[rows["is_x"] == side].drop_duplicates("node") for side in (True, False))
+        live_x, live_y = np.zeros(len(x), dtype=bool), np.zeros(len(y), dtype=bool)
+        if len(x) and len(y):
+            n_x, n_y, comp_x, comp_y = x["n"].to_numpy(), y["n"].to_numpy(), x["comp"].to_numpy(), y["comp"].to_numpy()
+            sig_x, sig_y = (np.stack(df["sig"].to_numpy()).astype(np.int64).view(np.uint64).T for df in (x, y))
+            for i in range(0, len(x), AT_ONCE):
+                here = slice(i, i + AT_ONCE)
+                size = n_x[here]
+                lo, hi = np.searchsorted(n_y * of, size[0] * need, "left"), np.searchsorted(n_y * need, size[-1] * of, "right")
+                if lo >= hi:
+                    continue
+                equal = np.zeros((len(size), hi - lo), dtype=np.int64)
+                for a, b in zip(sig_x[:, here], sig_y[:, lo:hi], strict=True):
+                    d = a[:, None] ^ b[None, :]
+                    for shift in (1 << j for j in range((BITS - 1).bit_length())):
+                        d |= d >> _U(shift)
+                    equal += 64 // BITS - np.bitwise_count(d & ones).astype(np.int64)
+                size, other = size[:, None], n_y[None, lo:hi]
+                good = (equal / MINIMA - chance) / (1 - chance) >= LEAST_ESTIMATE
+                good &= (np.minimum(size, other) * of >= np.maximum(size, other) * need) & (comp_x[here, None] != comp_y[None, lo:hi])
+                live_x[here] |= good.any(axis=1)
+                live_y[lo:hi] |= good.any(axis=0)
+        return pd.concat([x[live_x], y[live_y]])[["h", "node", "comp", "is_x"]]
+
+    return units.groupBy("h", "xb", "yc").applyInPandas(run, "h long, node long, comp long, is_x boolean").distinct()
+
+
 def classes(docs: DataFrame, k: int = SHINGLE, link: tuple[int, int] = LINK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept (doc_id = component_id), one row for every row with an id.
 
@@ -197,10 +239,11 @@ def classes(docs: DataFrame, k: int = SHINGLE, link: tuple[int, int] = LINK, id_
     central = member.groupBy("node").agg(F.sum("c").alias("score"))
     ranked = member.select("b", "node").join(central, "node")
     pivot = ranked.groupBy("b").agg(F.max(F.struct("score", (-F.col("node")).alias("minus"))).alias("p")).select("b", F.col("p.score").alias("score"), (-F.col("p.minus")).alias("h"))
-    pairs = member.select("b", "node").join(pivot, "b").where("node <> h").groupBy("node", "h", "score").agg(F.count("*").alias("shared"))
+    met = member.select("b", "node").join(pivot, "b").where("node <> h").groupBy("node", "h", "score").agg(F.count("*").alias("shared"))
+    met = common.written(met, folder, "met")
     size_ok = (F.least("n", "n_h") * link[1] >= F.greatest("n", "n_h") * link[0]) & (estimate(F.col("sig"), F.col("sig_h")) >= LEAST_ESTIMATE)
     there = nodes.select("node", "n", "sig")
-    pairs = pairs.join(there, "node").join(there.toDF("h", "n_h", "sig_h"), "h").where(size_ok).select("node", "h", "score", "shared", "n", "n_h")
+    pairs = met.join(there, "node").join(there.toDF("h", "n_h", "sig_h"), "h").where(size_ok).select("node", "h", "score", "shared", "n", "n_h")
     pairs = common.written(pairs, folder, "pairs")
 
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("binary").alias("body"))
@@ -215,11 +258,12 @@ def classes(docs: DataFrame, k: int = SHINGLE, link: tuple[int, int] = LINK, id_
     links = links.unionAll(common.written(compare(_units(apart.select("node", "h", "comp"), hubs, keys, texts), k, link), folder, "links_2"))
     comps = graph.components(links, folder, "comps_2")
 
-    # members of a pivot that are in different components: those apart from the pivot, against all
-    around = _with_comps(pairs.select("node", "h"), comps)
+    # all that met a pivot, near to it or not: where components differ, those apart from the pivot against all
+    around = _with_comps(met.select("node", "h"), comps)
     mixed = around.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
     around = common.written(around.join(mixed, "h", "left_semi"), folder, "around")
-    links = links.unionAll(common.written(compare(_units(around.select("node", "h", "comp"), around.where("comp <> comp_h").select("h", "node", "comp"), keys, texts), k, link), folder, "links_3"))
+    live = common.written(near(_dealt(around.select("h", "node", "comp"), around.where("comp <> comp_h").select("h", "node", "comp"), there, F.ceil(F.count("*") / BLOCK_SIGNATURES)), link), folder, "live")
+    links = links.unionAll(common.written(compare(_units(live.where("not is_x").drop("is_x"), live.where("is_x").drop("is_x"), keys, texts), k, link), folder, "links_3"))
     comps = common.written(graph.components(links, folder, "comps_3"), folder, "comps")
 
     by_set = sets.join(comps, "node", "left").select("key", F.coalesce("comp", "node").alias("c"))
@@ -235,20 +279,25 @@ def _with_comps(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _units(ys: DataFrame, xs: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
-    """Units of a comparison of the xs with the ys of each h, with their texts.
+    """Units of a comparison on full sets, of about BLOCK shingles and BLOCK_TEXTS texts of each side, with their texts."""
+    rows = _dealt(ys, xs, keys, F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count("*") / BLOCK_TEXTS)))
+    return rows.join(texts, "node").select("h", "xb", "yc", "is_x", "node", "comp", "key", "body")
 
-    Both are dealt over so many blocks that a unit holds about BLOCK shingles and BLOCK_TEXTS texts of each; an x goes to every
-    block of ys and a y to every block of xs. No pairs are made here.
+
+def _dealt(ys: DataFrame, xs: DataFrame, more: DataFrame, n_blocks) -> DataFrame:
+    """Units of a comparison of the xs with the ys of each h, with the columns of ``more``.
+
+    Both are dealt over n_blocks blocks; an x goes to every block of ys and a y to every block of xs. No
+    pairs are made here.
     """
-    ys, xs = ys.join(keys, "node"), xs.join(keys, "node")
-    blocks = lambda df, name: df.groupBy("h").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int").alias(name))
+    ys, xs = ys.join(more, "node"), xs.join(more, "node")
+    blocks = lambda df, name: df.groupBy("h").agg(n_blocks.cast("int").alias(name))
     sizes = blocks(xs, "nx").join(blocks(ys, "ny"), "h")
     mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    ys = ys.join(sizes, "h").select("h", "node", "comp", "key", F.lit(False).alias("is_x"), mine("ny").alias("yc"), every("nx").alias("xb"))
-    xs = xs.join(sizes, "h").select("h", "node", "comp", "key", F.lit(True).alias("is_x"), mine("nx").alias("xb"), every("ny").alias("yc"))
-    rows = ys.unionByName(xs)
-    return rows.join(texts, "node").select("h", "xb", "yc", "is_x", "node", "comp", "key", "body")
+    ys = ys.join(sizes, "h").withColumns({"is_x": F.lit(False), "yc": mine("ny"), "xb": every("nx")}).drop("nx", "ny")
+    xs = xs.join(sizes, "h").withColumns({"is_x": F.lit(True), "xb": mine("nx"), "yc": every("ny")}).drop("nx", "ny")
+    return ys.unionByName(xs)
 
 
 def drop_copies(docs: DataFrame, k: int = SHINGLE, link: tuple[int, int] = LINK) -> DataFrame:

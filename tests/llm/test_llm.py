@@ -244,6 +244,21 @@ def test_minhash_chains_and_odd_cases(spark, odd, nothing):
     assert minhash.drop_copies(odd).columns == odd.columns
 
 
+def test_minhash_pivots_remove_no_member(spark):
+    """Four hot groups hold one passage and text of their own; every bucket that the passage shares with its near copy has a pivot from them."""
+    rng = np.random.default_rng(1)
+    words = lambda tag, n: [f"{tag}{i}" for i in rng.permutation(n)]
+    passage = words("p", 120)
+    rows = [(1, " ".join(passage)), (2, " ".join([*passage, *words("q", 28)]))]
+    for g in range(4):
+        own = words(f"g{g}_", 40)
+        rows += [(100 * (g + 1) + c, " ".join([*passage, *own, f"c{g}_{c}"])) for c in range(12)]
+    want = brute_classes(rows, 5)
+    assert want[2][1] == 1 and want[100][1] != 1
+    for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert (r.n_shingles, r.component_id, r.kept) == want[r.doc_id]
+
+
 def test_estimate_is_near_the_similarity(spark):
     rng = np.random.default_rng(7)
     a = np.unique(rng.integers(0, 1 << 63, 1000, dtype=np.uint64))
