@@ -46,7 +46,8 @@ _U = np.uint64
 #: Bits of an anchor's hash; of a segment's digest, which ends in two hints of SIDE bits each.
 _H, _G, SIDE = _U((1 << 48) - 1), _U((1 << 36) - 1), 6
 _LOW = _U((1 << 20) - 1)
-_CHUNK = 1 << 20
+#: Starts of a chunk, at most: its grams, WINDOW - 1 more, have their places in the bits of _LOW.
+_CHUNK = (1 << 20) - WINDOW + 1
 #: Shift from each residue to the cover.
 _SHIFT = [next(d for d in range(PERIOD) if (r + d) % PERIOD in COVER) for r in range(PERIOD)]
 

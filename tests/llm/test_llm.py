@@ -180,6 +180,27 @@ def test_suffix_dedup_edges(spark, odd, nothing):
     assert suffix_dedup.report(nothing).count() == 0
 
 
+def test_suffix_dedup_across_chunk_borders(spark):
+    rng = np.random.default_rng(9)
+    letters = lambda n: rng.choice(np.frombuffer(b"abcdefghijklmnop", np.uint8), n)
+    body = letters((1 << 21) + 500)
+    for at in ((1 << 20), (1 << 20) - 35, (1 << 20) - 100):
+        h, g, first, last, place = suffix_dedup.segments(body[: at + 150])
+        assert (place >= first).all() and (place + suffix_dedup.GRAM <= last + suffix_dedup.SPAN).all()
+        assert first[0] == 0 and (first[1:] == last[:-1] + 1).all() and last[-1] == at + 150 - suffix_dedup.SPAN
+    small = [(1 + i, body[p : p + 120].tobytes().decode()) for i, p in enumerate((*range((1 << 20) - 160, (1 << 20) + 40, 40), *range((1 << 21) - 160, (1 << 21) + 40, 40)))]
+    whole = body.tobytes().decode()
+    rows = [*small, (50, whole), (51, whole), (52, letters(3000).tobytes().decode() + whole)]
+    got = {r.doc_id: r for r in suffix_dedup.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    held = np.zeros(len(body), dtype=bool)  # the small texts' places, each of which document 50 repeats
+    for p in (*range((1 << 20) - 160, (1 << 20) + 40, 40), *range((1 << 21) - 160, (1 << 21) + 40, 40)):
+        held[p : p + 120] = True
+    assert (got[50].n_removed, got[50].n_spans) == (int(held.sum()), 2)
+    assert got[50].kept_sha256 == hashlib.sha256(body[~held].tobytes()).hexdigest()
+    assert (got[51].n_removed, got[51].n_spans) == (len(body), 1)
+    assert (got[52].n_removed, got[52].n_spans) == (len(body), 1)
+
+
 def test_cover_ranks():
     assert {(a - b) % suffix_dedup.PERIOD for a in suffix_dedup.COVER for b in suffix_dedup.COVER} == set(range(suffix_dedup.PERIOD))
     rows = np.random.default_rng(5).integers(97, 99, (40, suffix_dedup.ROW)).astype(np.uint8)
