@@ -25,10 +25,8 @@ TRAIN_ROWS = 8192
 BOOKS, WORDS = 16, 128
 #: Partial codes that the encoder's beam keeps.
 BEAM = 4
-#: Cells that a query probes, rows in a block of a cell, and candidates of a block that are compared exactly.
-PROBES, BLOCK_ROWS, PER_BLOCK = 96, 2000, 40
-#: Up to so many rows queries probe all cells.
-SMALL = 4096
+#: Cells that a query probes (all, at every size), rows in a block of a cell, and candidates of a block that are compared exactly.
+PROBES, BLOCK_ROWS, PER_BLOCK = WORDS, 2000, 40
 
 
 @dataclass(frozen=True)
@@ -169,7 +167,7 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 5, q: Quantiser |
     coded = encode(vectors, q).dropDuplicates(["id"])
     lists = common.written(coded.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r", "same"), folder, "lists")
     sizes = {r.cell: r["count"] for r in lists.groupBy("cell").count().collect()}  # at most WORDS rows
-    probes = q.books.shape[1] if sum(sizes.values()) <= SMALL else min(probes, q.books.shape[1])
+    probes = min(probes, q.books.shape[1])
     blocks = {c: -(-n // BLOCK_ROWS) for c, n in sizes.items()}
     lists = lists.withColumn("block", F.pmod(F.xxhash64("id"), _lookup(blocks, F.col("cell"))).cast("int"))
     name, kind = _kind(asked)
