@@ -153,9 +153,13 @@ class Reader:
         lexicon, table, state, kinds = self.lexicon, self.table, 0, Counter()
         for t in [*_TOKEN.findall(text), "\n"]:
             c = INSULT if t in bad else BREAK if t in ".!?;:\n|" else lexicon.get(t, OTHER)
-            state, out = table[state][c]
-            if out < -1:
-                kinds[-1 - out] += 1
+            found = (c,)
+            if c == OTHER and "'" in t:  # a joined word that is none itself is read by what matches in its parts
+                found = [x for w in t.split("'") if (x := INSULT if w in bad else lexicon.get(w, OTHER)) != OTHER] or found
+            for c in found:
+                state, out = table[state][c]
+                if out < -1:
+                    kinds[-1 - out] += 1
         return kinds
 
     def features(self, text: str) -> list[float]:

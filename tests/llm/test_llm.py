@@ -395,6 +395,17 @@ def test_transducers_mark_and_reset():
     assert kinds([N, O, O, O, I, B]) == ["insult"]
 
 
+def test_insults_and_threats_in_joined_words():
+    reader = toxicity.Model(frozenset(["idiot", "moron"]), frozenset(["crét"]), toxicity.PRIOR).grammar()
+    kinds = lambda t: {toxicity.KINDS[k]: n for k, n in reader.clauses(t).items()}
+    for text in ("l'idiot", "pas de doute. bande d'idiot", "a moron's work", "L'IDIOT!", "d'crétins"):
+        assert kinds(text) == {"insult": 1}, text
+    assert kinds("that kill's near") == {"direct_threat": 1}
+    assert kinds("you're a moron") == {"direct_insult": 1}
+    assert kinds("this isn't idiot talk") == {"negated": 1}
+    assert kinds("it's l'ami, don't mind") == {}
+
+
 def test_toxicity_on_held_out_labels(spark, odd, nothing):
     sf = "/root/testdata/sf0.1"
     docs, labels = common.read(spark, sf, "documents"), common.read(spark, sf, "labels")
