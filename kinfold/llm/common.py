@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.session import ship
+from kinfold.storage import removed, shared_dir, written  # noqa: F401
 
 #: Rows in one Arrow batch. Texts run to 100 KB and more, so Spark's 10,000 would be hundreds of MB a batch.
 ARROW_ROWS = 1000
@@ -45,22 +45,3 @@ def map_rows(df: DataFrame, make, schema: str, arrow_schema: pa.Schema) -> DataF
 
 def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder name under spark.checkpoint.dir; where that is unset (tests), a folder under the warehouse."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-    return f"{top.rstrip('/')}/kinfold-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder and read it back."""
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    """Delete a folder of ``written`` that nothing reads any more."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_decontaminate": decontaminate.SQL,
+    "op3_suffix_dedup": suffix_dedup.SQL,
     "op4_minhash": minhash.SQL,
     "op6_chat": chat.SQL,
     "op8_url_filter": url_filter.SQL,

@@ -3,17 +3,18 @@
 A byte goes when it is covered by a string of SPAN bytes that also starts in a document with a smaller
 id. All suffixes of all documents would be far too many to sort at once, so they are dealt to buckets by
 content: each start of a SPAN-byte string has an anchor, the GRAM in the string with the smallest hash,
-and equal strings have equal anchors at equal places. Consecutive starts with one anchor are a segment.
-
-1. Segments are reduced to (anchor, digest of the segment, id), packed, and met by anchor. A segment that
-   a smaller document holds too is wholly covered. A segment that is first of its kind is contested if only
-   a part of it may be covered: another segment has its anchor and the GRAM bytes on one side (SPAN bytes
-   around the anchor reach that far on at least one side).
-2. Texts meet what was found about them and give the bytes of contested segments.
-3. The suffixes of contested segments are sorted one bucket (anchor, offset) at a time. Sample positions
-   after a difference cover get ranks by the DEPTH bytes that follow, by doubling; a bucket is then sorted by the
-   first PERIOD bytes of its suffixes, ties by the rank at the next cover position, and the few bytes that are left.
-4. All covered ranges of a document are joined and taken out.
+and equal strings have equal anchors at equal places. Consecutive starts with one anchor are a segment,
+which travels as one row of bytes.
+
+1. Texts are cut to segments. One that equals, byte by byte, one of a smaller document of the same pack is
+   wholly covered; the others go to the bucket of their anchor. An anchor with very many contexts is split:
+   there each start travels alone, to the bucket of its whole string.
+2. A bucket is sorted block by block. Segments that are equal byte by byte count as one; the suffixes of the
+   rest are sorted one bucket (anchor, offset) at a time. Sample positions after a difference cover get ranks
+   by the DEPTH bytes that follow, by doubling; a bucket is then sorted by the bytes before the next sample
+   position, ties by its rank, and the few bytes that are left. Suffixes that are equal over SPAN bytes are a
+   run, whose least id owns it: hashes only deal rows out, and every removal rests on compared bytes.
+3. Covered ranges meet their texts, are joined and taken out.
 """
 
 from __future__ import annotations
@@ -38,16 +39,19 @@ DEPTH = 32
 #: Width of a segment's row: the anchor starts at WINDOW - 1, so that starts of equal strings have equal residues.
 ROW = 96
 #: Text bytes behind one bucket of anchors, and of one bucket of documents.
-ANCHOR_BYTES, DOC_BYTES = 12_000_000, 8_000_000
-#: Text bytes that a task packs at once.
-PACK_BYTES = 24_000_000
+ANCHOR_BYTES, DOC_BYTES = 6_000_000, 8_000_000
+#: Text bytes that a task packs at once, and rows that are sorted at once (an anchor's rows stay together).
+PACK_BYTES, BLOCK_ROWS = 12_000_000, 20_000
+#: An anchor is split when more rows than this, and than one in HOT_MOST of all rows, have it: so at most HOT_MOST
+#: anchors are, whatever the input. Counted on one document in HOT_SAMPLE, as the split changes no result.
+HOT_ROWS, HOT_MOST, HOT_SAMPLE = 20_000, 1_000_000, 16
 
 _U = np.uint64
-#: Bits of an anchor's hash; of a segment's digest, which ends in two hints of SIDE bits each.
-_H, _G, SIDE = _U((1 << 48) - 1), _U((1 << 36) - 1), 6
-_LOW = _U((1 << 20) - 1)
-#: Starts of a chunk, at most: its grams, WINDOW - 1 more, have their places in the bits of _LOW.
-_CHUNK = (1 << 20) - WINDOW + 1
+_P = _U(0x9E3779B97F4A7C15)
+#: Bits of an anchor's hash, and of a gram's place in a chunk.
+_H, _LOW = _U((1 << 48) - 1), _U((1 << 20) - 1)
+#: Starts in a piece of a long text, and bytes of a chunk of pieces, whose places fit the bits of _LOW.
+_PIECE, _CHUNK = 1 << 19, 1 << 20
 #: Shift from each residue to the cover.
 _SHIFT = [next(d for d in range(PERIOD) if (r + d) % PERIOD in COVER) for r in range(PERIOD)]
 
@@ -67,13 +71,33 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments(b: np.ndarray) -> tuple[np.ndarray, ...]:
-    """anchor (48 bits), digest (36 bits and two hints), first start, last start and anchor's place of each segment of a text."""
-    parts = [_segments(b[i : i + _CHUNK + SPAN - 1], i) for i in range(0, max(1, len(b) - SPAN + 1), _CHUNK)]
-    return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-
-
-def _segments(b: np.ndarray, base: int) -> tuple[np.ndarray, ...]:
-    h, power, k = b.astype(np.uint64) + _U(1), _U(0x9E3779B97F4A7C15), 1
+    """anchor (48 bits), digest, first start, last start and anchor's place of each segment of a text."""
+    return _segments([b.tobytes()])[1:]
+
+
+def _segments(bodies: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Number of the text, then the columns of ``segments``, of many texts of SPAN bytes and more."""
+    out, chunk, size = [], [], 0
+    for i, body in enumerate(bodies):
+        for base in range(0, len(body) - SPAN + 1, _PIECE):
+            piece = body[base : base + _PIECE + SPAN - 1] if len(body) > _PIECE else body
+            if size + len(piece) > _CHUNK:
+                out.append(_of_chunk(chunk))
+                chunk, size = [], 0
+            chunk.append((i, base, piece))
+            size += len(piece)
+    if chunk:
+        out.append(_of_chunk(chunk))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.empty(0, dtype=t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
+
+
+def _of_chunk(chunk: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
+    b = np.frombuffer(b"".join(c[2] for c in chunk), dtype=np.uint8)
+    size = np.array([len(c[2]) for c in chunk])
+    ahead = np.cumsum(size) - size
+    piece = np.repeat(np.arange(len(chunk)), size)[: len(b) - SPAN + 1]
+    valid = np.arange(len(piece)) - ahead[piece] <= size[piece] - SPAN  # the string ends in its own text
+    h, power, k = b.astype(np.uint64) + _U(1), _P, 1
     with np.errstate(over="ignore"):
         while k < GRAM:
             h = h[:-k] * power + h[k:]
@@ -82,20 +106,44 @@ def _segments(b: np.ndarray, base: int) -> tuple[np.ndarray, ...]:
         gram = _mix(h)
         key = (gram & ~_LOW) | np.arange(len(gram), dtype=np.uint64)  # of equal hashes the leftmost
         low = _sliding_min(key, WINDOW)
-        first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-        last = np.append(first[1:], len(low)) - 1
+        change = low[1:] != low[:-1]
+        first = np.flatnonzero(valid & np.concatenate(([True], change | ~valid[:-1])))
+        last = np.flatnonzero(valid & np.concatenate((change | ~valid[1:], [True])))
         place = (low[first] & _LOW).astype(np.int64)
         gap = SPAN - 2 * GRAM
         digest = wide[first]
         for more in (wide[first + gap], wide[last], wide[last + gap], (last - first).astype(np.uint64) * _U(64) + (place - first).astype(np.uint64)):
-            digest = _mix(digest * _U(0x9E3779B97F4A7C15) + more)
-        side = lambda there, at: np.where(there, _U(1) + (gram[np.where(there, at, 0)] >> _U(48)) % _U((1 << SIDE) - 1), _U(0))
-        left, right = side(place - first >= GRAM, place - GRAM), side(last + SPAN - place >= 2 * GRAM, place + GRAM)
-    return gram[place] & _H, (digest & _G) << _U(2 * SIDE) | left << _U(SIDE) | right, first + base, last + base, place + base
+            digest = _mix(digest * _P + more)
+    at = piece[first]
+    shift = np.array([c[1] for c in chunk])[at] - ahead[at]
+    return np.array([c[0] for c in chunk])[at], gram[place] & _H, digest, first + shift, last + shift, place + shift
+
+
+def _words_of(body: bytes) -> np.ndarray:
+    """The 8 bytes from each place on, as integers."""
+    return np.ndarray(shape=(len(body) - 7,), dtype="<u8", buffer=body, strides=(1,))
+
+
+def _same(words: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes (8 or more) at the places a and b are equal."""
+    out = np.ones(len(a), dtype=bool)
+    for k in range(0, int(size.max(initial=0)), 8):
+        step = np.minimum(k, size - 8)
+        out &= words[a + step] == words[b + step]
+    return out
+
+
+def _string_hash(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """48 bits of a hash of the SPAN bytes at each place."""
+    h = np.zeros(len(at), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in (*range(0, SPAN - 8, 8), SPAN - 8):
+            h = _mix(h * _P + words[at + k])
+    return h & _H
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    """Integer columns, the first of them sorted, as compressed bytes: differences, byte planes, zstandard."""
+def _pack(body: bytes, *columns: np.ndarray) -> bytes:
+    """Integer columns, of which the first is packed by its differences, and bytes: byte planes, then zstandard."""
     import zstandard
 
     out = [len(columns[0]).to_bytes(8, "little")]
@@ -104,18 +152,19 @@ def _pack(*columns: np.ndarray) -> bytes:
         if i == 0:
             c = np.diff(c, prepend=0)
         out.append(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+    return zstandard.ZstdCompressor(level=1).compress(b"".join((*out, body)))
 
 
-def _unpack(blob: bytes, n_columns: int) -> list[np.ndarray]:
+def _unpack(blob: bytes, n_columns: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns, and the bytes behind them."""
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int.from_bytes(raw[:8], "little")
-    planes = np.frombuffer(raw, dtype=np.uint8, offset=8).reshape(n_columns, 8, n)
+    planes = np.frombuffer(raw, dtype=np.uint8, offset=8, count=8 * n * n_columns).reshape(n_columns, 8, n)
     out = [np.ascontiguousarray(p.T).view(np.int64).reshape(-1) for p in planes]
     out[0] = np.cumsum(out[0])
-    return out
+    return out, np.frombuffer(raw, dtype=np.uint8, offset=8 + 8 * n * n_columns)
 
 
 def _deal(keys: np.ndarray, *columns: np.ndarray):
@@ -129,194 +178,137 @@ def _deal(keys: np.ndarray, *columns: np.ndarray):
         yield int(keys[s]), [c[s:e] for c in columns]
 
 
-def _bucket(ids: np.ndarray, n: int) -> np.ndarray:
+def _ahead(size: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each of the runs of the given sizes."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _bucket(ids: np.ndarray, copies: np.ndarray, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return (_mix(ids.astype(np.uint64) * _U(0x9E3779B97F4A7C15)) % _U(n)).astype(np.int64)
+        return (_mix(ids.astype(np.uint64) * _P + copies.astype(np.uint64)) % _U(n)).astype(np.int64)
 
 
-BLOBS = "key long, blob binary"
-_BLOBS = pa.schema([("key", pa.int64()), ("blob", pa.binary())])
+def _leads(same: np.ndarray) -> np.ndarray:
+    """The place of the first row of each run, where same[i] says that row i goes on the run of row i - 1."""
+    return np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
 
 
-def _emit(n_anchor: int):
-    """Texts to packed segments. Buckets from n_anchor on hold segments that a smaller document of the
-    same pack has too: they are settled, need no meeting and are dealt by document, however common."""
+def _joined(doc: np.ndarray, copy: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Ranges in order, those of a document that touch as one; ends must rise with starts."""
+    by = np.lexsort((start, copy, doc))
+    doc, copy, start, end = doc[by], copy[by], start[by], end[by]
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1]) | (start[1:] > end[:-1])
+    at = np.flatnonzero(new)
+    return [doc[at], copy[at], start[at], end[np.append(at[1:], len(end))[: len(at)] - 1]]
 
-    def run(batches):
-        found: list[tuple] = []
-        size = 0
-
-        def flush():
-            if not found:
-                return
-            h, g, d = (np.concatenate([f[i] for f in found]) for i in range(3))
-            by = np.lexsort((d, g, h))
-            h, g, d = h[by], g[by], d[by]
-            again = np.concatenate(([False], (h[1:] == h[:-1]) & (g[1:] == g[:-1])))
-            same = again.copy()
-            same[1:] &= d[1:] == d[:-1]
-            h, g, d, again = h[~same], g[~same], d[~same], again[~same]
-            # an id that repeats with another text comes twice in a row; only larger ids are settled
-            lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(d)))) if len(d) else np.empty(0, dtype=np.int64)
-            settled = again & (d > d[lead])
-            key = np.where(settled, n_anchor + _bucket(d, n_anchor), (h % n_anchor).astype(np.int64))
-            for k, cols in _deal(key, h, g, d):
-                yield k, _pack(*cols)
-
-        for b in batches:
-            for i, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if i is None or len(body) < SPAN:
-                    continue
-                h, g, *_ = segments(np.frombuffer(body, dtype=np.uint8))
-                found.append((h.astype(np.int64), g.astype(np.int64), np.full(len(h), i, dtype=np.int64)))
-                size += len(body)
-                if size >= PACK_BYTES:
-                    yield from _blob_batches(flush())
-                    found.clear()
-                    size = 0
-        yield from _blob_batches(flush())
 
-    return run
+BLOBS = "key long, blob binary"
+_BLOBS = pa.schema([("key", pa.int64()), ("blob", pa.binary())])
 
 
 def _blob_batches(rows):
-    keys, blobs = [], []
+    keys, blobs, size = [], [], 0
     for k, blob in rows:
         keys.append(k)
         blobs.append(blob)
-        if sum(map(len, blobs[-64:])) > 4_000_000 or len(blobs) >= 256:
+        size += len(blob)
+        if size > 4_000_000 or len(blobs) >= 4096:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], schema=_BLOBS)
-            keys, blobs = [], []
+            keys, blobs, size = [], [], 0
     if keys:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], schema=_BLOBS)
 
 
-def _meet(n_anchor: int, n_doc: int):
-    """All segments of a bucket of anchors: which are covered (0) or contested (1), packed by bucket of documents."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        cols = [_unpack(x, 3) for x in rows["blob"]]
-        h, g, d = (np.concatenate([c[i] for c in cols]) for i in range(3))
-        del cols
-        if int(rows["key"].iloc[0]) >= n_anchor:
-            state = np.zeros(len(h), dtype=np.int64)
-        else:
-            by = np.lexsort((d, g, h))
-            h, g, d = h[by], g[by], d[by]
-            new_h = np.concatenate(([True], h[1:] != h[:-1]))
-            new_g = new_h | np.concatenate(([True], g[1:] != g[:-1]))
-            lead = d[np.maximum.accumulate(np.where(new_g, np.arange(len(d)), 0))]
-            state = np.where(d > lead, 0, -1)
-            more = np.add.reduceat(new_g, at := np.flatnonzero(new_h)) > 1
-            rest = np.flatnonzero(np.repeat(more, np.diff(np.append(at, len(h)))))
-            for shift in (SIDE, 0):
-                side = (g[rest] >> shift) & ((1 << SIDE) - 1)
-                state[rest[_shared(h[rest], side, g[rest], d[rest]) & (side > 0) & (state[rest] < 0)]] = 1
-            h, g, d, state = (x[state >= 0] for x in (h, g, d, state))
-        by = np.argsort(d, kind="stable")
-        h, g, d, state = h[by], g[by], d[by], state[by]
-        out = [(k, _pack(*c)) for k, c in _deal(_bucket(d, n_doc), d, h, g, state)]
-        return pd.DataFrame(out, columns=["key", "blob"])
-
-    return run
-
-
-def _shared(h: np.ndarray, side: np.ndarray, g: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Which segments have another kind of segment, of another document, with their anchor and hint."""
-    out = np.zeros(len(h), dtype=bool)
-    if not len(h):
-        return out
-    by = np.lexsort((d, g, side, h))
-    h, side, g, d = h[by], side[by], g[by], d[by]
-    new = np.concatenate(([True], (h[1:] != h[:-1]) | (side[1:] != side[:-1])))
-    kind = new | np.concatenate(([True], g[1:] != g[:-1]))
-    at = np.flatnonzero(new)
-    good = (np.add.reduceat(kind, at) > 1) & (np.minimum.reduceat(d, at) < np.maximum.reduceat(d, at))
-    out[by] = np.repeat(good, np.diff(np.append(at, len(h))))
-    return out
-
-
-def _squeeze(n_doc: int):
-    """Texts, compressed, with their bucket of documents; what is too short to hold a string is left out."""
+def _texts(batches, most: int):
+    """(ids, copies, bodies) of the texts that hold a string, about ``most`` bytes at a time."""
+    got, size = [], 0
+    for b in batches:
+        for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            if row[0] is None or len(row[2]) < SPAN:
+                continue
+            got.append(row)
+            size += len(row[2])
+            if size >= most:
+                yield list(zip(*got, strict=True))
+                got, size = [], 0
+    if got:
+        yield list(zip(*got, strict=True))
+
+
+def _emit(n_anchor: int, hot: np.ndarray):
+    """Texts to packed segments, by bucket of anchors. Buckets from n_anchor on hold ranges that are settled."""
+
+    def pack(ids, copies, bodies):
+        which, h, g, first, last, place = _segments(bodies)
+        size = np.array([len(b) for b in bodies])
+        base = np.cumsum(size) - size
+        whole = b"".join(bodies)
+        words, h = _words_of(whole), h.astype(np.int64)
+        if len(hot):
+            split = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+            n = (last - first + 1)[split]
+            start = np.repeat(first[split], n) + _ahead(n)
+            alone = np.repeat(which[split], n)
+            strings = _string_hash(words, start + base[alone])
+            more = [alone, strings.astype(np.int64), strings, start, start, np.repeat(place[split], n)]
+            which, h, g, first, last, place = (np.concatenate((x[~split], y)) for x, y in zip((which, h, g, first, last, place), more, strict=True))
+        d, c = np.array(ids, dtype=np.int64)[which], np.array(copies, dtype=np.int64)[which]
+        by = np.lexsort((d, g, h))
+        which, h, g, first, last, place, d, c = (x[by] for x in (which, h, g, first, last, place, d, c))
+        again = np.zeros(len(h), dtype=bool)
+        again[1:] = (h[1:] == h[:-1]) & (g[1:] == g[:-1]) & (last - first == np.roll(last - first, 1))[1:] & (place - first == np.roll(place - first, 1))[1:]
+        lead = _leads(again)
+        at = np.flatnonzero(again & (d > d[lead]))  # only larger ids are settled
+        of = lead[at]
+        at = at[_same(words, first[at] + base[which[at]], first[of] + base[which[of]], (last - first)[at] + SPAN)]
+        settled = np.zeros(len(h), dtype=bool)
+        settled[at] = True
+        got = _joined(d[at], c[at], first[at], last[at] + SPAN)
+        for k, cols in _deal(n_anchor + _bucket(got[0], got[1], n_anchor), *got):
+            yield k, _pack(b"", *cols)
+        rest = np.flatnonzero(~settled)
+        letters = np.frombuffer(whole, dtype=np.uint8)
+        for k, (i,) in _deal(h[rest] % n_anchor, rest):
+            n = (last - first)[i] + SPAN
+            body = letters[np.repeat(first[i] + base[which[i]], n) + _ahead(n)].tobytes()
+            yield k, _pack(body, h[i], d[i], c[i], first[i], (last - first)[i], (place - first)[i])
 
     def run(batches):
-        import zstandard
-
-        c = zstandard.ZstdCompressor(level=1)
-        schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("z", pa.binary())])
-        for b in batches:
-            rows = [(i, c.compress(t)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if i is not None and len(t) >= SPAN]
-            ids = np.array([r[0] for r in rows], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(_bucket(ids, n_doc), pa.int64()), pa.array(ids), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
+        for texts in _texts(batches, PACK_BYTES):
+            yield from _blob_batches(pack(*texts))
 
     return run
 
 
-def _apply(n_anchor: int):
-    """Texts of a bucket of documents with what was found: covered starts (kind 0, by document bucket), bytes of
-    contested segments (kind 1, by bucket of anchors) and the texts concerned (kind 2)."""
+def _contexts(batches):
+    """Anchors, and how many different segments of a pack have each."""
+    for _, _, bodies in _texts(batches, PACK_BYTES):
+        _, h, g, *_ = _segments(bodies)
+        by = np.lexsort((g, h))
+        h, g = h[by], g[by]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+        h, n = np.unique(h[new].astype(np.int64), return_counts=True)
+        for i in range(0, len(h), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 100_000]), pa.array(n[i : i + 100_000], pa.int64())], ["h", "n"])
 
-    def run(key, texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        import zstandard
 
-        out = []
-        if len(texts) and len(found):
-            cols = [_unpack(x, 4) for x in found["blob"]]
-            d, h, g, state = (np.concatenate([c[i] for c in cols]) for i in range(4))
-            by = np.lexsort((state, g, h, d))
-            d, h, g, state = d[by], h[by], g[by], state[by]
-            z = zstandard.ZstdDecompressor()
-            spans, rows = [], []
-            for doc, blob in zip(texts["doc"], texts["z"], strict=True):
-                lo, hi = np.searchsorted(d, [doc, doc + 1])
-                if lo == hi:
-                    continue
-                b = np.frombuffer(z.decompress(blob), dtype=np.uint8)
-                ah, ag, first, last, place = segments(b)
-                tag = lambda x, y: _mix(x.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + y.astype(np.uint64))
-                mine, theirs = tag(ah, ag), tag(h[lo:hi], g[lo:hi])
-                order = np.argsort(theirs)
-                at = np.minimum(np.searchsorted(theirs, mine, sorter=order), hi - lo - 1)
-                known = theirs[order][at] == mine
-                what = np.where(known, state[lo:hi][order][at], -1)
-                covered = np.flatnonzero(what == 0)
-                spans.append((np.full(len(covered), doc), first[covered], last[covered] + SPAN))
-                for i in np.flatnonzero(what == 1):
-                    rows.append((doc, int(ah[i]), int(first[i]), int(last[i]), int(place[i]), b[first[i] : last[i] + SPAN].tobytes()))
-                out.append((2, int(key[0]), int(doc), blob))
-            if spans:
-                out.append((0, int(key[0]), -1, _pack(*(np.concatenate(x) for x in zip(*spans, strict=True)))))
-            if rows:
-                anchor = np.array([r[1] for r in rows])
-                for k, (at,) in _deal(anchor % n_anchor, np.arange(len(rows))):
-                    out.append((1, k, -1, _pack_rows([rows[i] for i in at])))
-        return pd.DataFrame(out, columns=["kind", "key", "doc", "blob"])
-
-    return run
-
-
-def _pack_rows(rows: list[tuple]) -> bytes:
-    import zstandard
-
-    head = np.array([r[:5] for r in rows], dtype=np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(len(rows).to_bytes(8, "little") + np.ascontiguousarray(head.T).tobytes() + b"".join(r[5] for r in rows))
+def hot_anchors(df: DataFrame, total: int) -> np.ndarray:
+    """Sorted anchors whose rows would fill a bucket, HOT_MOST at most."""
+    least = max(HOT_ROWS, total // ((WINDOW + 1) // 2) // HOT_MOST)
+    some = df.where(F.pmod(F.xxhash64("id"), F.lit(HOT_SAMPLE)) == 0)
+    counts = some.mapInArrow(_contexts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") * HOT_SAMPLE > least)
+    return np.array(sorted(r.h for r in counts.orderBy(F.desc("n"), "h").limit(HOT_MOST).collect()), dtype=np.int64)
 
 
 def _unpack_rows(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Heads (doc, anchor, first, last, place) and rows of ROW bytes with the anchor at WINDOW - 1."""
-    import zstandard
-
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int.from_bytes(raw[:8], "little")
-    head = np.frombuffer(raw, dtype=np.int64, count=5 * n, offset=8).reshape(5, n).T
-    body = np.frombuffer(raw, dtype=np.uint8, offset=8 + 40 * n)
-    size = head[:, 3] - head[:, 2] + SPAN
-    out = np.zeros((n, ROW), dtype=np.uint8)
-    col = WINDOW - 1 + head[:, 2] - head[:, 4]  # of the first start
-    row = np.repeat(np.arange(n), size)
-    ahead = np.arange(len(body)) - np.repeat(np.cumsum(size) - size, size)
-    out[row, np.repeat(col, size) + ahead] = body
-    return head, out
+    """Heads (anchor, doc, copy, first, last, place) and rows of ROW bytes with the anchor at WINDOW - 1."""
+    (h, d, c, first, long, place), body = _unpack(blob, 6)
+    size = long + SPAN
+    out = np.zeros((len(h), ROW), dtype=np.uint8)
+    out[np.repeat(np.arange(len(h)), size), np.repeat(WINDOW - 1 - place, size) + _ahead(size)] = body
+    return np.stack([h, d, c, first, first + long, first + place], axis=1), out
 
 
 def _dense(*keys: np.ndarray) -> np.ndarray:
@@ -332,72 +324,125 @@ def _dense(*keys: np.ndarray) -> np.ndarray:
 
 
 class CoverRanks:
-    """Ranks of the sample positions of rows of text by the DEPTH bytes that follow (zeros beyond a row's end)."""
+    """Ranks of the sample positions of rows of text by the DEPTH bytes that follow, for positions that a suffix can ask for."""
 
     def __init__(self, rows: np.ndarray):
-        n = len(rows)
-        self.columns = [c for c in range(ROW) if c % PERIOD in COVER]
-        self.at = {c: i for i, c in enumerate(self.columns)}
-        wide = np.concatenate([rows, np.zeros((n, 2 * DEPTH), dtype=np.uint8)], axis=1)
-        half = _dense(*(self._words(wide, self.columns, k).ravel() for k in (0, 8))).reshape(n, -1)
-        beyond = np.full(n, -1)
-        after = np.stack([half[:, self.at[c + PERIOD]] if c + PERIOD < ROW else beyond for c in self.columns], axis=1)
-        self.rank = _dense(half.ravel(), after.ravel()).reshape(n, -1)
-
-    @staticmethod
-    def _words(wide: np.ndarray, columns: list[int], shift: int) -> np.ndarray:
-        """The 8 bytes from each column on, as integers in the order of the bytes."""
-        return np.stack([np.ascontiguousarray(wide[:, c + shift : c + shift + 8]).view(">u8").reshape(-1).astype(np.uint64) for c in columns], axis=1)
-
-
-def sorted_out(head: np.ndarray, text: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-    """(docs, starts) of the suffixes whose SPAN bytes a smaller document of the same anchor has too.
-
-    One bucket at a time: the suffixes at one offset from their anchors. Within it the anchor, the first
-    PERIOD bytes, the cover rank and the last bytes decide; equal ones form a run, whose least id owns them.
+        n, most = len(rows), WINDOW + PERIOD - 2  # the last position that a shift from a start can reach
+        sampled = [c for c in range(most + PERIOD + 1) if c % PERIOD in COVER]
+        self.columns = [c for c in sampled if c <= most]
+        self.at = {c: i for i, c in enumerate(sampled)}
+        half = _dense(*(np.stack([_word(rows, c + k) for c in sampled], axis=1).ravel() for k in (0, 8))).reshape(n, -1)
+        after = np.stack([half[:, self.at[c + PERIOD]] for c in self.columns], axis=1)
+        self.rank = _dense(half[:, [self.at[c] for c in self.columns]].ravel(), after.ravel()).reshape(n, -1)
+
+
+def _word(rows: np.ndarray, c: int) -> np.ndarray:
+    """The 8 bytes from column c on, as integers in the order of the bytes."""
+    return np.ascontiguousarray(rows[:, c : c + 8]).view(">u8").reshape(-1).astype(np.uint64)
+
+
+def sorted_out(head: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, starts) of the suffixes whose SPAN bytes a smaller document of the same anchor has too.
+
+    One bucket at a time: the suffixes at one offset from their anchors. Within it the anchor, the bytes up to
+    the next sample position, its rank and the last bytes decide; equal ones form a run, whose least id owns them.
     """
-    doc, anchor, first, last, place = head.T
+    anchor, doc, _, first, last, place = head.T
     cover = CoverRanks(text)
-    wide = np.concatenate([text, np.zeros((len(text), 16), dtype=np.uint8)], axis=1)
-    word = lambda c: np.ascontiguousarray(wide[:, c : c + 8]).view(">u8").reshape(-1)
-    out = []
+    rows, starts = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
     for c in range(WINDOW):
         start = place - (WINDOW - 1 - c)
         here = np.flatnonzero((start >= first) & (start <= last))
         if len(here) < 2:
             continue
-        to_cover = c + _SHIFT[c % PERIOD]
-        rank = cover.rank[:, cover.at[to_cover]]
-        keys = [anchor[here], *(word(x)[here] for x in (c, c + 8)), rank[here], *(word(x)[here] for x in (c + DEPTH, c + DEPTH + 8, c + SPAN - 8))]
+        d = _SHIFT[c % PERIOD]
+        before = [x for x in (0, 8) if x < d]
+        behind = [x for x in (DEPTH, SPAN - 16) if d + DEPTH < x + 8 and (x >= SPAN - 16 or d + DEPTH < SPAN - 16)] + [SPAN - 8]
+        keys = [anchor[here], *(_word(text, c + x)[here] for x in before), cover.rank[here, cover.at[c + d]], *(_word(text, c + x)[here] for x in behind)]
         by = np.lexsort([doc[here], *keys[::-1]])
-        step = np.zeros(len(by), dtype=bool)
-        step[0] = True
+        same = np.ones(len(by), dtype=bool)
+        same[0] = False
         for k in keys:
             k = k[by]
-            step[1:] |= k[1:] != k[:-1]
-        d = doc[here][by]
-        lead = d[np.maximum.accumulate(np.where(step, np.arange(len(d)), 0))]
-        mine = here[by[d > lead]]
-        out.append((doc[mine], start[mine]))
-    return out
+            same[1:] &= k[1:] == k[:-1]
+        ids = doc[here][by]
+        mine = here[by[ids > ids[_leads(same)]]]
+        rows.append(mine)
+        starts.append(start[mine])
+    return np.concatenate(rows), np.concatenate(starts)
+
+
+def covered(head: np.ndarray, text: np.ndarray) -> list[np.ndarray]:
+    """doc, copy, start, end of the covered ranges of the rows of one bucket of anchors."""
+    by = np.lexsort((head[:, 1], head[:, 0]))
+    head, text = head[by], text[by]
+    at = np.flatnonzero(np.concatenate(([True], head[1:, 0] != head[:-1, 0])))
+    end = np.append(at[1:], len(head))
+    several = np.flatnonzero(head[at, 1] < head[end - 1, 1])  # anchors of two documents and more
+    out, block, size = [], [], 0
+    for a in several.tolist():
+        block.append(np.arange(at[a], end[a]))
+        size += end[a] - at[a]
+        if size >= BLOCK_ROWS or a == several[-1]:
+            i = np.concatenate(block)
+            out.append(_of_block(head[i], text[i]))
+            block, size = [], 0
+    return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, dtype=np.int64)] * 4
+
+
+def _of_block(head: np.ndarray, text: np.ndarray) -> list[np.ndarray]:
+    mixed = np.zeros(len(head), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for c in range(0, ROW, 8):
+            mixed = _mix(mixed * _P + _word(text, c))
+    by = np.lexsort((head[:, 1], mixed, head[:, 0]))
+    head, text, mixed = head[by], text[by], mixed[by]
+    anchor, doc, copy, first, last, place = head.T
+    same = np.zeros(len(head), dtype=bool)
+    same[1:] = (mixed[1:] == mixed[:-1]) & (anchor[1:] == anchor[:-1])
+    lead = _leads(same)
+    at = np.flatnonzero(doc > doc[lead])
+    of = lead[at]
+    at = at[(text[at] == text[of]).all(1) & ((last - first)[at] == (last - first)[of]) & ((place - first)[at] == (place - first)[of])]
+    rest = np.ones(len(head), dtype=bool)
+    rest[at] = False
+    rest = np.flatnonzero(rest)
+    edge = np.flatnonzero(np.concatenate(([True], anchor[rest][1:] != anchor[rest][:-1])))
+    n = np.diff(np.append(edge, len(rest)))
+    rest = rest[np.repeat(np.minimum.reduceat(doc[rest], edge) < np.maximum.reduceat(doc[rest], edge), n)] if len(rest) else rest
+    i, start = sorted_out(head[rest], text[rest]) if len(rest) else (np.empty(0, dtype=np.int64),) * 2
+    i = rest[i]
+    return _joined(np.concatenate((doc[at], doc[i])), np.concatenate((copy[at], copy[i])), np.concatenate((first[at], start)), np.concatenate((last[at] + SPAN, start + SPAN)))
 
 
-def _settle(n_doc: int):
-    """Contested segments of a bucket of anchors to covered ranges, packed by bucket of documents."""
+def _meet(n_anchor: int, n_doc: int):
+    """The covered ranges of a bucket of anchors, packed by bucket of documents."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [_unpack_rows(x) for x in rows["blob"]]
-        got = sorted_out(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        out = []
-        if got:
-            doc, start = (np.concatenate(x) for x in zip(*got, strict=True))
-            by = np.lexsort((start, doc))
-            doc, start = doc[by], start[by]
-            new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)))[: len(doc)]
-            at = np.flatnonzero(new)
-            end = start[np.append(at[1:], len(start)) - 1] + SPAN if len(at) else at
-            out = [(k, _pack(*c)) for k, c in _deal(_bucket(doc[at], n_doc), doc[at], start[at], end)]
-        return pd.DataFrame(out, columns=["key", "blob"])
+        if int(rows["key"].iloc[0]) >= n_anchor:
+            parts = [_unpack(x, 4)[0] for x in rows["blob"]]
+            got = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        else:
+            parts = [_unpack_rows(x) for x in rows["blob"]]
+            head, text = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+            del parts
+            got = covered(head, text)
+        return pd.DataFrame([(k, _pack(b"", *c)) for k, c in _deal(_bucket(got[0], got[1], n_doc), *got)], columns=["key", "blob"])
+
+    return run
+
+
+def _squeeze(n_doc: int):
+    """Texts, compressed, with their bucket of documents; what is too short to hold a string is left out."""
+
+    def run(batches):
+        import zstandard
+
+        z = zstandard.ZstdCompressor(level=1)
+        schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("copy", pa.int64()), ("z", pa.binary())])
+        for ids, copies, bodies in _texts(batches, DOC_BYTES):
+            ids, copies = np.array(ids, dtype=np.int64), np.array(copies, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(_bucket(ids, copies, n_doc)), pa.array(ids), pa.array(copies), pa.array([z.compress(b) for b in bodies], pa.binary())], schema=schema)
 
     return run
 
@@ -417,50 +462,68 @@ def _remove(key, texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
 
     out = []
     if len(texts) and len(found):
-        cols = [_unpack(x, 3) for x in found["blob"]]
-        d, s, e = (np.concatenate([c[i] for c in cols]) for i in range(3))
-        by = np.argsort(d, kind="stable")
-        d, s, e = d[by], s[by], e[by]
+        cols = [_unpack(x, 4)[0] for x in found["blob"]]
+        d, c, s, e = (np.concatenate([x[i] for x in cols]) for i in range(4))
+        by = np.lexsort((c, d))
+        d, c, s, e = d[by], c[by], s[by], e[by]
+        edge = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (c[1:] != c[:-1]))))
+        where = {(int(d[lo]), int(c[lo])): (lo, hi) for lo, hi in zip(edge, np.append(edge[1:], len(d)), strict=True)}
         z = zstandard.ZstdDecompressor()
-        for doc, blob in zip(texts["doc"], texts["z"], strict=True):
-            lo, hi = np.searchsorted(d, [doc, doc + 1])
-            if lo == hi:
+        for doc, copy, blob in zip(texts["doc"], texts["copy"], texts["z"], strict=True):
+            if (at := where.get((doc, copy))) is None:
                 continue
             raw = z.decompress(blob)
-            n, runs, left = cut_out(np.frombuffer(raw, dtype=np.uint8), s[lo:hi], e[lo:hi])
+            n, runs, left = cut_out(np.frombuffer(raw, dtype=np.uint8), s[slice(*at)], e[slice(*at)])
             out.append((int(doc), hashlib.sha256(raw).hexdigest(), n, runs, hashlib.sha256(left).hexdigest(), left))
     return pd.DataFrame(out, columns=["doc", "was", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, was (digest of the text), n_removed, n_spans, kept_sha256, kept (bytes), for the documents that lose bytes.
+    """doc, was (SHA-256 of the text), n_removed, n_spans, kept_sha256, kept (bytes), for the documents that lose bytes.
 
     Null texts are empty; rows without an id take no part (nor do texts under SPAN bytes, which hold no
-    string). Rows that repeat with their id count as one; an id with several texts must not occur.
+    string). Rows that repeat with their id and text are one document; the texts of an id that repeats with
+    several are documents of their own, none of which covers another, as none has the smaller id.
     """
-    folder = common.shared_dir(docs.sparkSession)
-    df = common.ids_and_bytes(docs, id_col, text_col)
+    df = common.ids_and_bytes(docs, id_col, text_col).where("id is not null")
+    several = not df.groupBy("id").count().where("count > 1").isEmpty()
+    df = df.select("id", (F.xxhash64("body") if several else F.lit(0).cast("long")).alias("copy"), "body")
+    if several:
+        df = df.dropDuplicates(["id", "copy"])
     total = df.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     n_anchor, n_doc = 64 + total // ANCHOR_BYTES, 64 + total // DOC_BYTES
-    squeezed = "key long, doc long, z binary"
-    found = df.mapInArrow(_emit(n_anchor), BLOBS).groupBy("key").applyInPandas(_meet(n_anchor, n_doc), BLOBS)
-    texts = df.mapInArrow(_squeeze(n_doc), squeezed)
-    state = texts.groupBy("key").cogroup(found.groupBy("key")).applyInPandas(_apply(n_anchor), "kind int, key long, doc long, blob binary")
-    state = common.written(state, folder, "state")
-    settled = state.where("kind = 1").select("key", "blob").groupBy("key").applyInPandas(_settle(n_doc), BLOBS)
-    ranges = settled.unionAll(state.where("kind = 0").select("key", "blob"))
-    concerned = state.where("kind = 2").selectExpr("key", "doc", "blob as z")
-    return concerned.groupBy("key").cogroup(ranges.groupBy("key")).applyInPandas(_remove, "doc long, was string, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    found = df.mapInArrow(_emit(n_anchor, hot_anchors(df, total)), BLOBS).groupBy("key").applyInPandas(_meet(n_anchor, n_doc), BLOBS)
+    texts = df.mapInArrow(_squeeze(n_doc), "key long, doc long, copy long, z binary")
+    return texts.groupBy("key").cogroup(found.groupBy("key")).applyInPandas(_remove, "doc long, was string, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs`` (see ``removals`` for the odd cases)."""
-    hit = removals(docs).select(F.col("doc").alias("d"), "n_removed", "n_spans", "kept_sha256").dropDuplicates(["d"])
+    hit = removals(docs).select(F.col("doc").alias("d"), "was", "n_removed", "n_spans", "kept_sha256")
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("sha"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
-    return base.join(hit, base["doc_id"] == hit["d"], "left").select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    return base.join(hit, (base["doc_id"] == hit["d"]) & (base["sha"] == hit["was"]), "left").select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(common.read(spark, sf_dir, "documents"))
+
+
+SQL = f"""
+with t as (select doc_id, coalesce(encode(text), ''::blob) as b from documents),
+s as (select doc_id, p, b[p + 1:p + {SPAN}] as g from (select doc_id, b, unnest(range(0, octet_length(b) - {SPAN - 1})) as p from t)),
+o as (select g, min(doc_id) as owner from s group by 1 having min(doc_id) < max(doc_id)),
+h as (select distinct doc_id, p from s join o using (g) where owner < doc_id),
+n as (select *, p > lag(p) over w + {SPAN} or lag(p) over w is null as new from h window w as (partition by doc_id order by p)),
+r as (select doc_id, min(p) as s, max(p) + {SPAN} as e from (select *, count(*) filter (where new) over (partition by doc_id order by p) as k from n) group by doc_id, k),
+c as (select *, coalesce(lag(e) over (partition by doc_id order by s), 0) as prior, lead(s) over (partition by doc_id order by s) is null as final from r),
+k as (
+  select doc_id, sum(e - s)::bigint as n_removed, count(*) as n_spans,
+    string_agg(hex(b[prior + 1:s]) || case when final then hex(b[e + 1:]) else '' end, '' order by s) as kept
+  from c join t using (doc_id) group by doc_id
+)
+select doc_id, octet_length(b)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  sha256(case when kept is null then b else unhex(kept) end) as kept_sha256
+from t left join k using (doc_id)
+"""

@@ -165,16 +165,21 @@ def brute_removal(rows):
             if first.setdefault(k, i) < i:
                 gone[p : p + suffix_dedup.SPAN] = True
         edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
-        out[i] = (len(b), int(gone.sum()), len(edge) // 2, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest())
+        out[i, b] = (len(b), int(gone.sum()), len(edge) // 2, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest())
     return out
 
 
 def check_removal(df):
-    want = brute_removal({(r.doc_id, (r.text or "").encode()) for r in df.where("doc_id is not null").collect()})
+    """Every row of the report; an id may repeat with several texts, each of which has its own row."""
+    want = {}
+    for (i, _), row in brute_removal({(r.doc_id, (r.text or "").encode()) for r in df.where("doc_id is not null").collect()}).items():
+        want.setdefault(i, set()).add(row)
     rows = suffix_dedup.report(df).collect()
     for r in rows:
         if r.doc_id is not None:
-            assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id], r.doc_id
+            assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) in want[r.doc_id], r.doc_id
+    for i, of in want.items():
+        assert {(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows if r.doc_id == i} == of
     return rows
 
 
@@ -193,6 +198,31 @@ def test_suffix_dedup_edges(spark, odd, nothing):
     check_removal(spark.createDataFrame(rows, "doc_id long, text string"))
     assert len(check_removal(odd)) == 12
     assert suffix_dedup.report(nothing).count() == 0
+    shared, own = letters(75), [letters(90) for _ in range(6)]
+    again = [(1, shared + own[0]), (2, own[1] + shared), (2, own[2]), (2, own[2]), (3, own[2][:60] + shared), (3, own[3]), (2, own[4] + own[2]), (4, own[5])]
+    assert len(check_removal(spark.createDataFrame(again, "doc_id long, text string"))) == 8
+
+
+def test_suffix_dedup_splits_hot_anchors(spark, monkeypatch):
+    """One gram with very many contexts on both sides; starts of its strings travel alone, and nothing changes."""
+    rng = np.random.default_rng(8)
+    letters = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    common_part = letters(30)
+    tails = [letters(40) for _ in range(12)]
+    rows = [(i, letters(40) + tails[int(rng.integers(12))] + common_part + tails[int(rng.integers(12))] + letters(30)) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(check_removal(df))
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 20)
+    monkeypatch.setattr(suffix_dedup, "HOT_SAMPLE", 1)
+    split = suffix_dedup.hot_anchors(common.ids_and_bytes(df).selectExpr("id", "0L copy", "body"), 0)
+    assert len(split) and sorted(check_removal(df)) == plain
+
+
+def test_suffix_blocks_change_nothing(docs, monkeypatch):
+    whole = sorted(suffix_dedup.report(docs).collect())
+    for name, value in (("BLOCK_ROWS", 7), ("PACK_BYTES", 20_000), ("ANCHOR_BYTES", 30_000), ("DOC_BYTES", 50_000)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    assert sorted(suffix_dedup.report(docs).collect()) == whole
 
 
 def test_suffix_dedup_across_chunk_borders(spark):
@@ -220,9 +250,8 @@ def test_cover_ranks():
     assert {(a - b) % suffix_dedup.PERIOD for a in suffix_dedup.COVER for b in suffix_dedup.COVER} == set(range(suffix_dedup.PERIOD))
     rows = np.random.default_rng(5).integers(97, 99, (40, suffix_dedup.ROW)).astype(np.uint8)
     cover = suffix_dedup.CoverRanks(rows)
-    wide = np.concatenate([rows, np.zeros((40, suffix_dedup.DEPTH), dtype=np.uint8)], axis=1)
-    inner = [c for c in cover.columns if c + suffix_dedup.DEPTH <= suffix_dedup.ROW]
-    strings = [(bytes(wide[r, c : c + suffix_dedup.DEPTH]), cover.rank[r, cover.at[c]]) for r in range(40) for c in inner]
+    strings = [(bytes(rows[r, c : c + suffix_dedup.DEPTH]), cover.rank[r, cover.at[c]]) for r in range(40) for c in cover.columns]
+    assert all(c + suffix_dedup._SHIFT[c % suffix_dedup.PERIOD] in cover.columns for c in range(suffix_dedup.WINDOW))
     strings.sort()
     assert [r for _, r in strings] == sorted(r for _, r in strings)
     assert len({s for s, _ in strings}) == len({r for _, r in strings})
