@@ -6,12 +6,14 @@ content: each start of a SPAN-byte string has an anchor, the GRAM in the string
 and equal strings have equal anchors at equal places. Consecutive starts with one anchor are a segment,
 which travels as one row of bytes.
 
-1. Texts are cut to segments. One that equals, byte by byte, one of a smaller document of the same pack is
-   wholly covered; the others go to the bucket of their anchor. An anchor with very many contexts is split:
-   there each start travels alone, to the bucket of its whole string.
-2. A bucket is sorted block by block. Segments that are equal byte by byte count as one; the suffixes of the
-   rest are sorted one bucket (anchor, offset) at a time. Sample positions after a difference cover get ranks
-   by the DEPTH bytes that follow, by doubling; a bucket is then sorted by the bytes before the next sample
+1. Texts are dealt to buckets of documents, which all later steps read from that one exchange, and cut to
+   segments. One that equals, byte by byte, one of a smaller document of its bucket is wholly covered. The
+   anchors of the others are counted over all buckets, and each bucket learns which of its own stand in another
+   document too: only their segments travel. An anchor with very many segments is split: there each start
+   travels alone, to the bucket of its whole string.
+2. A bucket of anchors is sorted block by block. Segments that are equal byte by byte count as one; the suffixes
+   of the rest are sorted one bucket (anchor, offset) at a time. Sample positions after a difference cover get
+   ranks by the DEPTH bytes that follow, by doubling; a bucket is then sorted by the bytes before the next sample
    position, ties by its rank, and the few bytes that are left. Suffixes that are equal over SPAN bytes are a
    run, whose least id owns it: hashes only deal rows out, and every removal rests on compared bytes.
 3. Covered ranges meet their texts, are joined and taken out.
@@ -39,12 +41,9 @@ DEPTH = 32
 #: Width of a segment's row: the anchor starts at WINDOW - 1, so that starts of equal strings have equal residues.
 ROW = 96
 #: Text bytes behind one bucket of anchors, and of one bucket of documents.
-ANCHOR_BYTES, DOC_BYTES = 6_000_000, 8_000_000
-#: Text bytes that a task packs at once, and rows that are sorted at once (an anchor's rows stay together).
-PACK_BYTES, BLOCK_ROWS = 12_000_000, 20_000
-#: An anchor is split when more rows than this, and than one in HOT_MOST of all rows, have it: so at most HOT_MOST
-#: anchors are, whatever the input. Counted on one document in HOT_SAMPLE, as the split changes no result.
-HOT_ROWS, HOT_MOST, HOT_SAMPLE = 20_000, 1_000_000, 16
+ANCHOR_BYTES, DOC_BYTES = 16_000_000, 12_000_000
+#: Rows that are sorted at once (an anchor's rows stay together), and rows beyond which an anchor is split.
+BLOCK_ROWS, HOT_ROWS = 20_000, 20_000
 
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
@@ -204,102 +203,149 @@ def _joined(doc: np.ndarray, copy: np.ndarray, start: np.ndarray, end: np.ndarra
 
 
 BLOBS = "key long, blob binary"
-_BLOBS = pa.schema([("key", pa.int64()), ("blob", pa.binary())])
-
-
-def _blob_batches(rows):
-    keys, blobs, size = [], [], 0
-    for k, blob in rows:
-        keys.append(k)
-        blobs.append(blob)
-        size += len(blob)
-        if size > 4_000_000 or len(blobs) >= 4096:
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], schema=_BLOBS)
-            keys, blobs, size = [], [], 0
-    if keys:
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], schema=_BLOBS)
-
-
-def _texts(batches, most: int):
-    """(ids, copies, bodies) of the texts that hold a string, about ``most`` bytes at a time."""
-    got, size = [], 0
-    for b in batches:
-        for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            if row[0] is None or len(row[2]) < SPAN:
-                continue
-            got.append(row)
-            size += len(row[2])
-            if size >= most:
-                yield list(zip(*got, strict=True))
-                got, size = [], 0
-    if got:
-        yield list(zip(*got, strict=True))
+#: What a bucket of documents learns about its anchors: alone in one document, in several, in very many rows.
+ALONE, SHARED, HOT = 0, 1, 2
 
 
-def _emit(n_anchor: int, hot: np.ndarray):
-    """Texts to packed segments, by bucket of anchors. Buckets from n_anchor on hold ranges that are settled."""
+def _squeeze(n_doc: int):
+    """Texts, compressed, with their bucket of documents; what is too short to hold a string is left out."""
 
-    def pack(ids, copies, bodies):
-        which, h, g, first, last, place = _segments(bodies)
+    def run(batches):
+        import zstandard
+
+        z = zstandard.ZstdCompressor(level=1)
+        schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("copy", pa.int64()), ("z", pa.binary())])
+        for b in batches:
+            rows = [r for r in zip(*(c.to_pylist() for c in b.columns), strict=True) if len(r[2]) >= SPAN]
+            ids, copies = (np.array([r[i] for r in rows], dtype=np.int64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(_bucket(ids, copies, n_doc)), pa.array(ids), pa.array(copies), pa.array([z.compress(r[2]) for r in rows], pa.binary())], schema=schema)
+
+    return run
+
+
+class Bucket:
+    """The segments of a bucket of documents, in order of anchor, content and id; those that the bucket itself settles are marked.
+
+    The order rests on the texts alone, not on the order in which they arrive.
+    """
+
+    def __init__(self, texts: pd.DataFrame):
+        import zstandard
+
+        z = zstandard.ZstdDecompressor()
+        rows = sorted(zip(texts["doc"], texts["copy"], texts["z"], strict=True), key=lambda r: r[:2])
+        self.ids, self.copies = (np.array([r[i] for r in rows], dtype=np.int64) for i in (0, 1))
+        bodies = [z.decompress(r[2]) for r in rows]
         size = np.array([len(b) for b in bodies])
-        base = np.cumsum(size) - size
-        whole = b"".join(bodies)
-        words, h = _words_of(whole), h.astype(np.int64)
-        if len(hot):
-            split = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
-            n = (last - first + 1)[split]
-            start = np.repeat(first[split], n) + _ahead(n)
-            alone = np.repeat(which[split], n)
-            strings = _string_hash(words, start + base[alone])
-            more = [alone, strings.astype(np.int64), strings, start, start, np.repeat(place[split], n)]
-            which, h, g, first, last, place = (np.concatenate((x[~split], y)) for x, y in zip((which, h, g, first, last, place), more, strict=True))
-        d, c = np.array(ids, dtype=np.int64)[which], np.array(copies, dtype=np.int64)[which]
-        by = np.lexsort((d, g, h))
-        which, h, g, first, last, place, d, c = (x[by] for x in (which, h, g, first, last, place, d, c))
+        self.base = np.cumsum(size) - size
+        which, h, g, first, last, place = _segments(bodies)
+        self.text = b"".join(bodies)
+        self._order(which, h.astype(np.int64), g, first, last, place)
+
+    def _order(self, which, h, g, first, last, place):
+        d = self.ids[which]
+        by = np.lexsort((which, d, g, h))
+        which, h, g, first, last, place, d = (x[by] for x in (which, h, g, first, last, place, d))
         again = np.zeros(len(h), dtype=bool)
-        again[1:] = (h[1:] == h[:-1]) & (g[1:] == g[:-1]) & (last - first == np.roll(last - first, 1))[1:] & (place - first == np.roll(place - first, 1))[1:]
+        if len(h):
+            long, ahead = last - first, place - first
+            again[1:] = (h[1:] == h[:-1]) & (g[1:] == g[:-1]) & (long[1:] == long[:-1]) & (ahead[1:] == ahead[:-1])
         lead = _leads(again)
         at = np.flatnonzero(again & (d > d[lead]))  # only larger ids are settled
-        of = lead[at]
-        at = at[_same(words, first[at] + base[which[at]], first[of] + base[which[of]], (last - first)[at] + SPAN)]
-        settled = np.zeros(len(h), dtype=bool)
-        settled[at] = True
-        got = _joined(d[at], c[at], first[at], last[at] + SPAN)
-        for k, cols in _deal(n_anchor + _bucket(got[0], got[1], n_anchor), *got):
-            yield k, _pack(b"", *cols)
-        rest = np.flatnonzero(~settled)
-        letters = np.frombuffer(whole, dtype=np.uint8)
-        for k, (i,) in _deal(h[rest] % n_anchor, rest):
-            n = (last - first)[i] + SPAN
-            body = letters[np.repeat(first[i] + base[which[i]], n) + _ahead(n)].tobytes()
-            yield k, _pack(body, h[i], d[i], c[i], first[i], (last - first)[i], (place - first)[i])
-
-    def run(batches):
-        for texts in _texts(batches, PACK_BYTES):
-            yield from _blob_batches(pack(*texts))
+        of, there = lead[at], first + self.base[which]
+        self.settled = np.zeros(len(h), dtype=bool)
+        if len(at):
+            self.settled[at[_same(_words_of(self.text), there[at], there[of], (last - first)[at] + SPAN)]] = True
+        self.which, self.h, self.g, self.first, self.last, self.place = which, h, g, first, last, place
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Anchors of what is not settled, in order, with their rows, and whether those are of several documents."""
+        open_ = ~self.settled
+        h, d = self.h[open_], self.ids[self.which[open_]]
+        at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))[: len(h)]
+        several = np.minimum.reduceat(d, at) < np.maximum.reduceat(d, at) if len(h) else np.empty(0, dtype=bool)
+        return h[at], np.diff(np.append(at, len(h))), several
+
+    def split(self, hot: np.ndarray) -> None:
+        """Each start of the segments of hot anchors becomes a row of its own, under the hash of its string."""
+        if not len(hot):
+            return
+        these = np.isin(self.h, hot)
+        n = (self.last - self.first + 1)[these]
+        start, alone = np.repeat(self.first[these], n) + _ahead(n), np.repeat(self.which[these], n)
+        strings = _string_hash(_words_of(self.text), start + self.base[alone])
+        more = (alone, strings.astype(np.int64), strings, start, start, np.repeat(self.place[these], n))
+        mine = (self.which, self.h, self.g, self.first, self.last, self.place)
+        self._order(*(np.concatenate((x[~these], y)) for x, y in zip(mine, more, strict=True)))
+
+    def ranges(self) -> list[np.ndarray]:
+        """doc, copy, start, end of what is settled here."""
+        i = self.settled
+        return _joined(self.ids[self.which[i]], self.copies[self.which[i]], self.first[i], self.last[i] + SPAN)
+
+    def rows(self, wanted: np.ndarray, n_anchor: int):
+        """(bucket of anchors, packed rows) of the rows to ship."""
+        letters = np.frombuffer(self.text, dtype=np.uint8)
+        rest = np.flatnonzero(wanted)
+        for k, (i,) in _deal(self.h[rest] % n_anchor, rest):
+            which, first, long = self.which[i], self.first[i], (self.last - self.first)[i]
+            body = letters[np.repeat(first + self.base[which], long + SPAN) + _ahead(long + SPAN)].tobytes()
+            yield k, _pack(body, self.h[i], self.ids[which], self.copies[which], first, long, (self.place - self.first)[i])
+
+
+def _ask(n_anchor: int):
+    """The anchors of a bucket of documents, packed by bucket of anchors."""
+
+    def run(texts: pd.DataFrame) -> pd.DataFrame:
+        h, n, several = Bucket(texts).anchors()
+        src = int(texts["key"].iloc[0])
+        return pd.DataFrame([(k, src, _pack(b"", *c)) for k, c in _deal(h % n_anchor, h, n, several)], columns=["key", "src", "blob"])
 
     return run
 
 
-def _contexts(batches):
-    """Anchors, and how many different segments of a pack have each."""
-    for _, _, bodies in _texts(batches, PACK_BYTES):
-        _, h, g, *_ = _segments(bodies)
-        by = np.lexsort((g, h))
-        h, g = h[by], g[by]
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-        h, n = np.unique(h[new].astype(np.int64), return_counts=True)
-        for i in range(0, len(h), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 100_000]), pa.array(n[i : i + 100_000], pa.int64())], ["h", "n"])
+def _answer(rows: pd.DataFrame) -> pd.DataFrame:
+    """For each bucket of documents that asked, what its anchors are, in its own order."""
+    import zstandard
+
+    parts = [_unpack(x, 3)[0] for x in rows["blob"]]
+    h, n, several = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    which = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+    by = np.argsort(h, kind="stable")
+    at = np.flatnonzero(np.concatenate(([True], h[by][1:] != h[by][:-1])))
+    asked = np.diff(np.append(at, len(h)))
+    state = np.where((asked > 1) | (np.maximum.reduceat(several[by], at) > 0), np.where(np.add.reduceat(n[by], at) > HOT_ROWS, HOT, SHARED), ALONE).astype(np.uint8)
+    out = np.empty(len(h), dtype=np.uint8)
+    out[by] = np.repeat(state, asked)
+    z, edge = zstandard.ZstdCompressor(level=1), np.searchsorted(which, np.arange(len(parts) + 1))
+    return pd.DataFrame({"key": rows["src"], "part": rows["key"], "blob": [z.compress(out[s:e].tobytes()) for s, e in zip(edge, edge[1:], strict=False)]})
+
 
+def _ship(n_anchor: int):
+    """The rows of a bucket of documents whose anchors are shared, by bucket of anchors, and what it settles itself (key from n_anchor on)."""
 
-def hot_anchors(df: DataFrame, total: int) -> np.ndarray:
-    """Sorted anchors whose rows would fill a bucket, HOT_MOST at most."""
-    least = max(HOT_ROWS, total // ((WINDOW + 1) // 2) // HOT_MOST)
-    some = df.where(F.pmod(F.xxhash64("id"), F.lit(HOT_SAMPLE)) == 0)
-    counts = some.mapInArrow(_contexts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") * HOT_SAMPLE > least)
-    return np.array(sorted(r.h for r in counts.orderBy(F.desc("n"), "h").limit(HOT_MOST).collect()), dtype=np.int64)
+    def run(key, texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        import zstandard
+
+        out = []
+        if len(texts):
+            z = zstandard.ZstdDecompressor()
+            bucket = Bucket(texts)
+            answers = {k: np.frombuffer(z.decompress(x), dtype=np.uint8) for k, x in zip(told["part"], told["blob"], strict=True)}
+            known, state = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.uint8)]
+            for k, (h,) in _deal((h := bucket.anchors()[0]) % n_anchor, h):
+                known.append(h)
+                state.append(answers[k])
+            known, state = np.concatenate(known), np.concatenate(state)
+            alone = known[state == ALONE]
+            bucket.split(known[state == HOT])
+            out = list(bucket.rows(~bucket.settled & ~np.isin(bucket.h, alone), n_anchor))
+            ranges = bucket.ranges()
+            if len(ranges[0]):
+                out.append((n_anchor + int(key[0]), _pack(b"", *ranges)))
+        return pd.DataFrame(out, columns=["key", "blob"])
+
+    return run
 
 
 def _unpack_rows(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -419,34 +465,18 @@ def _meet(n_anchor: int, n_doc: int):
     """The covered ranges of a bucket of anchors, packed by bucket of documents."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        if int(rows["key"].iloc[0]) >= n_anchor:
-            parts = [_unpack(x, 4)[0] for x in rows["blob"]]
-            got = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        else:
-            parts = [_unpack_rows(x) for x in rows["blob"]]
-            head, text = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-            del parts
-            got = covered(head, text)
+        key = int(rows["key"].iloc[0])
+        if key >= n_anchor:
+            return pd.DataFrame({"key": key - n_anchor, "blob": rows["blob"]})
+        parts = [_unpack_rows(x) for x in rows["blob"]]
+        head, text = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        del parts
+        got = covered(head, text)
         return pd.DataFrame([(k, _pack(b"", *c)) for k, c in _deal(_bucket(got[0], got[1], n_doc), *got)], columns=["key", "blob"])
 
     return run
 
 
-def _squeeze(n_doc: int):
-    """Texts, compressed, with their bucket of documents; what is too short to hold a string is left out."""
-
-    def run(batches):
-        import zstandard
-
-        z = zstandard.ZstdCompressor(level=1)
-        schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("copy", pa.int64()), ("z", pa.binary())])
-        for ids, copies, bodies in _texts(batches, DOC_BYTES):
-            ids, copies = np.array(ids, dtype=np.int64), np.array(copies, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(_bucket(ids, copies, n_doc)), pa.array(ids), pa.array(copies), pa.array([z.compress(b) for b in bodies], pa.binary())], schema=schema)
-
-    return run
-
-
 def cut_out(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, bytes]:
     """Bytes removed, maximal removed runs, and what is left."""
     depth = np.zeros(len(b) + 1, dtype=np.int32)
@@ -492,9 +522,11 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         df = df.dropDuplicates(["id", "copy"])
     total = df.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     n_anchor, n_doc = 64 + total // ANCHOR_BYTES, 64 + total // DOC_BYTES
-    found = df.mapInArrow(_emit(n_anchor, hot_anchors(df, total)), BLOBS).groupBy("key").applyInPandas(_meet(n_anchor, n_doc), BLOBS)
-    texts = df.mapInArrow(_squeeze(n_doc), "key long, doc long, copy long, z binary")
-    return texts.groupBy("key").cogroup(found.groupBy("key")).applyInPandas(_remove, "doc long, was string, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    texts = df.mapInArrow(_squeeze(n_doc), "key long, doc long, copy long, z binary").groupBy("key")
+    asked = texts.applyInPandas(_ask(n_anchor), "key long, src long, blob binary")
+    told = asked.groupBy("key").applyInPandas(_answer, "key long, part long, blob binary")
+    found = texts.cogroup(told.groupBy("key")).applyInPandas(_ship(n_anchor), BLOBS).groupBy("key").applyInPandas(_meet(n_anchor, n_doc), BLOBS)
+    return texts.cogroup(found.groupBy("key")).applyInPandas(_remove, "doc long, was string, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -213,14 +213,13 @@ def test_suffix_dedup_splits_hot_anchors(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     plain = sorted(check_removal(df))
     monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 20)
-    monkeypatch.setattr(suffix_dedup, "HOT_SAMPLE", 1)
-    split = suffix_dedup.hot_anchors(common.ids_and_bytes(df).selectExpr("id", "0L copy", "body"), 0)
-    assert len(split) and sorted(check_removal(df)) == plain
+    sizes = np.unique(np.concatenate([suffix_dedup.segments(np.frombuffer(t.encode(), np.uint8))[0] for _, t in rows]), return_counts=True)[1]
+    assert sizes.max() > 20 and sorted(check_removal(df)) == plain
 
 
 def test_suffix_blocks_change_nothing(docs, monkeypatch):
     whole = sorted(suffix_dedup.report(docs).collect())
-    for name, value in (("BLOCK_ROWS", 7), ("PACK_BYTES", 20_000), ("ANCHOR_BYTES", 30_000), ("DOC_BYTES", 50_000)):
+    for name, value in (("BLOCK_ROWS", 7), ("ANCHOR_BYTES", 30_000), ("DOC_BYTES", 50_000)):
         monkeypatch.setattr(suffix_dedup, name, value)
     assert sorted(suffix_dedup.report(docs).collect()) == whole
 
