@@ -29,7 +29,9 @@ SHINGLE, LINK = 5, (80, 100)
 #: Below this estimate a pair isn't compared: seven standard deviations under a similarity of 0.8.
 LEAST_ESTIMATE = 0.55
 #: Shingles, and texts, that one block of a comparison holds, about.
-BLOCK, BLOCK_TEXTS = 400_000, 400
+BLOCK, BLOCK_TEXTS = 1_600_000, 2000
+#: Parts that the rows of every pivot are dealt to in joins on pivots, as one pivot may have very many.
+PARTS = 16
 #: Signatures that one block of a comparison holds, about, and rows of it that are compared at once.
 BLOCK_SIGNATURES, AT_ONCE = 5000, 64
 #: Word hashes kept in a worker's memory.
@@ -243,7 +245,7 @@ def classes(docs: DataFrame, k: int = SHINGLE, link: tuple[int, int] = LINK, id_
     met = common.written(met, folder, "met")
     size_ok = (F.least("n", "n_h") * link[1] >= F.greatest("n", "n_h") * link[0]) & (estimate(F.col("sig"), F.col("sig_h")) >= LEAST_ESTIMATE)
     there = nodes.select("node", "n", "sig")
-    pairs = met.join(there, "node").join(there.toDF("h", "n_h", "sig_h"), "h").where(size_ok).select("node", "h", "score", "shared", "n", "n_h")
+    pairs = _with_pivots(met.join(there, "node"), there.toDF("h", "n_h", "sig_h")).where(size_ok).select("node", "h", "score", "shared", "n", "n_h")
     pairs = common.written(pairs, folder, "pairs")
 
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("binary").alias("body"))
@@ -265,6 +267,8 @@ def classes(docs: DataFrame, k: int = SHINGLE, link: tuple[int, int] = LINK, id_
     live = common.written(near(_dealt(around.select("h", "node", "comp"), around.where("comp <> comp_h").select("h", "node", "comp"), there, F.ceil(F.count("*") / BLOCK_SIGNATURES)), link), folder, "live")
     links = links.unionAll(common.written(compare(_units(live.where("not is_x").drop("is_x"), live.where("is_x").drop("is_x"), keys, texts), k, link), folder, "links_3"))
     comps = common.written(graph.components(links, folder, "comps_3"), folder, "comps")
+    for name in ("nodes", "member", "met", "pairs", "links_1", "links_2", "links_3", "around", "live"):
+        common.removed(spark, f"{folder}/{name}")
 
     by_set = sets.join(comps, "node", "left").select("key", F.coalesce("comp", "node").alias("c"))
     out = signed.select("doc_id", "n", "key").join(by_set, "key", "left")
@@ -274,10 +278,21 @@ def classes(docs: DataFrame, k: int = SHINGLE, link: tuple[int, int] = LINK, id_
 def _with_comps(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     """Pairs (node, h) with the components of both (a node without links is its own)."""
     of = lambda a, b: comps.select(F.col("node").alias(a), F.col("comp").alias(b))
-    pairs = pairs.join(of("node", "comp"), "node", "left").join(of("h", "comp_h"), "h", "left")
+    pairs = _with_pivots(pairs.join(of("node", "comp"), "node", "left"), of("h", "comp_h"))
     return pairs.select("node", "h", F.coalesce("comp", "node").alias("comp"), F.coalesce("comp_h", "h").alias("comp_h"))
 
 
+def _with_pivots(rows: DataFrame, about: DataFrame) -> DataFrame:
+    """``rows`` (node, h, ...) with what ``about`` (h, ...) says of their pivots, if anything.
+
+    A pivot's rows are dealt to PARTS parts and its one row goes to each, so no task gets all rows of a hot one.
+    """
+    used = rows.select("h").distinct().join(about, "h", "left")
+    used = used.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int"))
+    return rows.join(used, ["h", "__part"]).drop("__part")
+
+
 def _units(ys: DataFrame, xs: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
     """Units of a comparison on full sets, of about BLOCK shingles and BLOCK_TEXTS texts of each side, with their texts."""
     rows = _dealt(ys, xs, keys, F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count("*") / BLOCK_TEXTS)))
@@ -295,8 +310,8 @@ def _dealt(ys: DataFrame, xs: DataFrame, more: DataFrame, n_blocks) -> DataFrame
     sizes = blocks(xs, "nx").join(blocks(ys, "ny"), "h")
     mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    ys = ys.join(sizes, "h").withColumns({"is_x": F.lit(False), "yc": mine("ny"), "xb": every("nx")}).drop("nx", "ny")
-    xs = xs.join(sizes, "h").withColumns({"is_x": F.lit(True), "xb": mine("nx"), "yc": every("ny")}).drop("nx", "ny")
+    ys = _with_pivots(ys, sizes).where("nx is not null").withColumns({"is_x": F.lit(False), "yc": mine("ny"), "xb": every("nx")}).drop("nx", "ny")
+    xs = _with_pivots(xs, sizes).where("ny is not null").withColumns({"is_x": F.lit(True), "xb": mine("nx"), "yc": every("ny")}).drop("nx", "ny")
     return ys.unionByName(xs)
 
 

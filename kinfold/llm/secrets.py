@@ -1,13 +1,14 @@
 """Secret scans with Spark expressions only.
 
 Three base patterns (assignments, access keys, long hex runs) are joined by character Markov
-models: one of random strings, one of ordinary identifiers, both learnt from labelled samples.
+models: one of random strings, one of ordinary identifiers, both learnt from labelled samples, as is the threshold.
 A long token whose log-likelihood ratio favours the random model is a span of kind ``markov``.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +22,15 @@ ASSIGN_LEAST = 6
 #: A run of 16 or more after AKIA is a whole match of 20 or more; a shorter run is dropped with all that starts in it.
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
-#: Tokens that the Markov models judge, and the least mean log-likelihood ratio (nats a character) of a secret.
-TOKEN = "[A-Za-z0-9+/_=-]{20,}"
-LEAST_MEAN = 0.35
+#: Tokens that the Markov models judge.
+TOKEN_LEAST = 20
+TOKEN = f"[A-Za-z0-9+/_=-]{{{TOKEN_LEAST},}}"
+#: Of FOLDS folds of the samples, the one that tests hold out, and the one that the threshold is fitted on; the rest train.
+FOLDS, TEST_FOLD, THRESHOLD_FOLD = 5, 0, 1
+#: Share of the strings of each kind that the threshold may leave aside.
+FALSE_SHARE = 0.001
+#: Odds for a random string that a token needs, at least.
+ODDS = 1000
 MASK = "[SECRET]"
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -44,7 +51,7 @@ WORDS = (
 
 
 def samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
-    """Labelled strings made by rule: label 1 random (base64, hex, letters and digits), 0 ordinary identifiers."""
+    """id, fold, text, label of strings made by rule: label 1 random (base64, hex, letters and digits), 0 ordinary identifiers."""
     words = F.array(*map(F.lit, WORDS))
 
     def pick(salt: int) -> Column:
@@ -62,7 +69,32 @@ def samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     digest = F.unhex(F.sha2(F.col("id").cast("string"), 256))
     random = F.when(style < 3, F.base64(digest)).when(style == 3, F.sha2(F.concat(F.lit("x"), F.col("id").cast("string")), 224)).otherwise(F.regexp_replace(F.base64(digest), "[+/=]", ""))
     made = spark.range(0, n, 1, 2)
-    return made.select(ordinary.alias("text"), F.lit(0).alias("label")).unionAll(made.select(random.alias("text"), F.lit(1).alias("label")))
+    fold = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(FOLDS)).cast("int").alias("fold")
+    return made.select("id", fold, ordinary.alias("text"), F.lit(0).alias("label")).unionAll(made.select("id", fold, random.alias("text"), F.lit(1).alias("label")))
+
+
+@dataclass(frozen=True)
+class Model:
+    """ratios: log-likelihood ratio of each transition; least: the mean ratio (nats a character) from which a token is a secret."""
+
+    ratios: list[float]
+    least: float
+
+
+def fit(labelled: DataFrame) -> Model:
+    """Train on the folds that are neither tested nor used for the threshold, and fit the threshold on its own fold.
+
+    The threshold lies halfway between what all but FALSE_SHARE of that fold's ordinary strings stay under and
+    what all but FALSE_SHARE of its random ones reach, but not below ODDS to one for a token of the least length,
+    as most long tokens of texts are no secrets. Strings of the training folds are left out of it. One row comes
+    to the driver.
+    """
+    trained = labelled.where(f"fold not in ({TEST_FOLD}, {THRESHOLD_FOLD})")
+    ratios = train(trained)
+    fresh = labelled.where((F.col("fold") == THRESHOLD_FOLD) & (F.length("text") > 0)).join(trained.select("text"), "text", "left_anti")
+    at = lambda y, share: F.percentile(F.when(F.col("label") == y, mean_ratio(F.col("text"), ratios)), share)
+    low, high = fresh.agg(at(0, 1 - FALSE_SHARE), at(1, FALSE_SHARE)).first()
+    return Model(ratios, max(math.log(ODDS) / TOKEN_LEAST, ((low or 0.0) + (high or 0.0)) / 2))
 
 
 def _states(token: Column) -> Column:
@@ -96,28 +128,62 @@ def _found(text: Column, pattern: str, take) -> Column:
     return F.when(text.rlike(pattern), take).otherwise(F.array())
 
 
+SPANS = "array<struct<s:int,k:int,e:int>>"
+
+
+def _let(x: Column, of) -> Column:
+    """``of(x)`` with x computed once, however often it is used."""
+    return F.get(F.transform(F.array(x), of), F.lit(0))
+
+
+def _chunks(values: Column) -> Column:
+    """An array cut in parts of about the root of its length, so that work on parts grows with its power of 1.5 at most."""
+    step = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(values))).cast("int"))
+    return F.when(F.size(values) > 0, F.transform(F.sequence(F.lit(1), F.size(values), step), lambda s: F.slice(values, s, step)))
+
+
+def _running(values: Column, add) -> Column:
+    """For each of the integers what ``add`` makes of 0 and all before it."""
+
+    def of(chunks):
+        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), add))
+        heads = F.aggregate(totals, F.array(F.lit(0)), lambda acc, t: F.concat(acc, F.array(add(F.element_at(acc, -1), t))))
+        within = lambda c, head: F.slice(F.aggregate(c, F.array(head), lambda acc, x: F.concat(acc, F.array(add(F.element_at(acc, -1), x)))), 1, F.size(c))
+        return F.flatten(F.transform(F.filter(F.arrays_zip(chunks.alias("c"), heads.alias("h")), lambda p: p["c"].isNotNull()), lambda p: within(p["c"], p["h"])))
+
+    return F.coalesce(_let(_chunks(values), of), F.array().cast("array<int>"))
+
+
 def _spans(kind: int, matches: Column, gaps: Column, good: Column | None = None) -> Column:
     """Spans (s, k, e) from the lengths of matches and of what stands between them."""
-    item = lambda s, e: F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,k:int,e:int>>").alias("of"))
+    good = F.transform(matches, lambda _: F.lit(True)) if good is None else good
+    rows = F.arrays_zip(matches.alias("n"), F.slice(gaps, 1, F.size(matches)).alias("gap"), good.alias("good"))
 
-    def step(acc, x):
-        s = acc["at"] + x["gap"]
-        e = s + x["size"]
-        return F.struct(e.alias("at"), F.when(x["good"], F.concat(acc["of"], F.array(item(s, e)))).otherwise(acc["of"]).alias("of"))
+    def of(rows):
+        before = _running(F.transform(rows, lambda x: x["n"] + x["gap"]), lambda a, b: a + b)
+        both = F.zip_with(rows, before, lambda x, at: F.struct((at + x["gap"]).alias("s"), F.lit(kind).alias("k"), (at + x["gap"] + x["n"]).alias("e"), x["good"].alias("good")))
+        return F.transform(F.filter(both, lambda x: x["good"]), lambda x: F.struct(x["s"], x["k"], x["e"]))
+
+    return _let(rows, of)
 
-    good = F.transform(matches, lambda _: F.lit(True)) if good is None else good
-    rows = F.transform(matches, lambda n, i: F.struct(n.alias("size"), F.get(gaps, i).alias("gap"), F.get(good, i).alias("good")))
-    return F.aggregate(rows, start, step, lambda acc: acc["of"])
 
+def _outside(spans: Column, base: Column) -> Column:
+    """The spans that overlap none of ``base``; both are in order of their starts."""
 
-def scan(docs: DataFrame, model: list[float] | None = None, least_mean: float = LEAST_MEAN, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    def of(chunk, base):
+        near = F.filter(base, lambda b: (b["s"] < F.element_at(chunk, -1)["e"]) & (F.element_at(chunk, 1)["s"] < b["e"]))
+        return _let(near, lambda near: F.filter(chunk, lambda m: ~F.exists(near, lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"]))))
+
+    return _let(base, lambda base: _let(_chunks(spans), lambda chunks: F.flatten(F.transform(chunks, lambda c: of(c, base)))))
+
+
+def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, base and spans (arrays of s, k, e: code points, end exclusive, k the place in KINDS) for every row.
 
     Base spans are leftmost and do not overlap within a kind; markov spans overlap no base span. Null
     texts are empty; null ids stay null; repeated rows are each scanned. ``keep``: columns to carry.
     """
-    model = train(samples(docs.sparkSession)) if model is None else model
+    model = fit(samples(docs.sparkSession)) if model is None else model
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"), *[F.col(c).alias(f"__keep_{c}") for c in keep])
     t = F.col("__t")
     lengths = lambda a: F.transform(a, F.length)
@@ -126,12 +192,12 @@ def scan(docs: DataFrame, model: list[float] | None = None, least_mean: float =
         cols[f"m_{kind}"] = _found(t, pattern, lengths(F.regexp_extract_all(t, F.lit(pattern), F.lit(0))))
         cols[f"g_{kind}"] = _found(t, pattern, lengths(F.split(t, pattern, -1)))
     cols["v_assign"] = _found(t, ASSIGN, F.transform(F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(1)), lambda v: F.length(v) >= ASSIGN_LEAST))
-    cols["v_markov"] = _found(t, TOKEN, F.transform(F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0)), lambda v: mean_ratio(v, model) >= least_mean))
+    cols["v_markov"] = _found(t, TOKEN, F.transform(F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0)), lambda v: mean_ratio(v, model.ratios) >= model.least))
     df = df.withColumns({k: v for k, v in cols.items()})
-    none = F.array().cast("array<struct<s:int,k:int,e:int>>")
+    none = F.array().cast(SPANS)
     made = {f"s_{kind}": F.when(F.size(f"m_{kind}") > 0, _spans(i, F.col(f"m_{kind}"), F.col(f"g_{kind}"), F.col(f"v_{kind}") if f"v_{kind}" in cols else None)).otherwise(none) for i, kind in enumerate(KINDS)}
     df = df.withColumns(made).withColumn("base", F.array_sort(F.concat("s_assign", "s_access", "s_hex")))
-    free = F.filter("s_markov", lambda m: ~F.exists("base", lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"])))
+    free = F.when(F.size("base") > 0, _outside(F.col("s_markov"), F.col("base"))).otherwise(F.col("s_markov"))
     df = df.withColumn("spans", F.when(F.size("s_markov") > 0, F.array_sort(F.concat("base", free))).otherwise(F.col("base")))
     return df.select("doc_id", "base", "spans", F.col("__t").alias("text"), *[F.col(f"__keep_{c}").alias(c) for c in keep])
 
@@ -141,7 +207,7 @@ def _text(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def report(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
+def report(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans (kind:start:end, comma-joined)."""
     count = lambda col, k: F.size(F.filter(col, lambda x: x["k"] == k)).cast("long")
     return scan(docs, model).select(
@@ -149,7 +215,24 @@ def report(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
+def _pieces(spans: Column) -> Column:
+    """(at, s) of the text that stays in front of each span; a span that begins inside those before it adds nothing."""
+    rows = lambda x: F.zip_with(x, _running(F.transform(x, lambda y: y["e"]), lambda a, b: F.greatest(a, b)), lambda y, at: F.struct(at.alias("at"), y["s"].alias("s")))
+    return F.filter(_let(spans, rows), lambda x: x["s"] >= x["at"])
+
+
+def _masked(text: Column, pieces: Column) -> Column:
+    """The pieces of a text, each with a mask behind it, cut chunk by chunk, as finding a place in a text takes as long as the text is."""
+
+    def of(c):
+        start = F.element_at(c, 1)["at"]
+        part = F.substring(text, start + 1, F.element_at(c, -1)["s"] - start)
+        return _let(part, lambda part: F.array_join(F.transform(c, lambda x: F.concat(F.substring(part, x["at"] - start + 1, x["s"] - x["at"]), F.lit(MASK))), ""))
+
+    return _let(_chunks(pieces), lambda chunks: F.array_join(F.transform(chunks, of), ""))
+
+
+def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The columns of ``documents``, every span of a secret replaced by ``[SECRET]`` (overlapping spans by one).
 
     n_chars is counted anew where a text has changed; texts without a span, null ones too, pass unchanged.
@@ -157,14 +240,9 @@ def redact(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
     keep = ("text", "lang", "source", "n_chars")
     df = scan(docs, model, keep=keep)
     df = df.toDF("doc_id", "base", "spans", "t", *keep)
-    # A piece of text before each span, from where the spans before have ended; a span inside them adds nothing.
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, x):
-        between = F.when(x["s"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("t"), acc["at"] + 1, x["s"] - acc["at"]), F.lit(MASK))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), between.alias("out"))
-
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("t"), acc["at"] + 1, F.length("t"))))
+    df = df.withColumn("pieces", F.when(F.size("spans") > 0, _pieces(F.col("spans"))))
+    df = df.withColumn("end", F.array_max(F.transform("spans", lambda x: x["e"])))
+    clean = F.concat(_masked(F.col("t"), F.col("pieces")), F.substring(F.col("t"), F.col("end") + 1, F.length("t")))
     df = df.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")))
     return df.select("doc_id", "text", "lang", "source", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars").cast("long")).alias("n_chars"))
 

@@ -271,4 +271,11 @@ def round_trip(docs: DataFrame, model: str | None = None, id_col: str = "doc_id"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table, encoded and decoded.
+
+    The one piece file at hand is a merge table: its scores are ranks, not log-probabilities. The ids are the
+    best splits under the Zipf scores made from those ranks, so they are NOT the ids that the library gives for
+    this file (its merge order splits otherwise). With a unigram model's own scores, which ``Encoder`` takes,
+    they are the library's.
+    """
     return round_trip(common.read(spark, sf_dir, "documents"))

@@ -7,19 +7,37 @@ weights reach a sum. A term counts only between boundaries: no ASCII letter or d
 
 from __future__ import annotations
 
+import pkgutil
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Terms of which one blocks.
-STRICT = ("porn", "porno", "xxx", "sex", "hentai", "escort", "casino", "casinos", "gambling", "betting", "poker", "free-bets", "viagra", "cialis", "malware", "phishing", "spam", "warez")
-#: Terms that block together, with weights.
-SOFT = {
-    "bet": 1.0, "bets": 1.0, "bonus": 1.0, "jackpot": 1.0, "slots": 1.0, "win": 1.0, "winner": 1.0, "prize": 1.0, "lottery": 1.0, "free": 0.5, "cheap": 1.0, "discount": 0.5, "deal": 0.5, "deals": 0.5,
-    "pills": 1.0, "loan": 1.0, "loans": 1.0, "crypto": 0.5, "click": 1.0, "ads": 1.0, "track": 1.0, "tracker": 1.0, "popup": 1.0, "farm": 1.0, "adult": 1.0, "dating": 1.0, "hot": 0.5, "nude": 1.0, "torrent": 1.0, "crack": 1.0, "keygen": 1.0,
-}
+#: Most terms of a vocabulary: the automaton is held by every worker (about 100 bytes a character).
+MOST_TERMS = 1_000_000
+
+
+def shipped_terms() -> list[tuple[str, str, float]]:
+    """(term, kind, weight) of the package's own table, in several languages, as they are spelt in urls."""
+    lines = pkgutil.get_data(__package__, "url_terms.tsv").decode().splitlines()[1:]
+    return [(t, k, float(w)) for t, k, w in (line.split("\t") for line in lines)]
+
+
+def read_terms(table: DataFrame) -> list[tuple[str, str, float]]:
+    """The terms of a table (term, kind, weight), for a vocabulary of one's own.
+
+    Kinds are strict (one blocks) and soft (weights add up). Rows with a null or an empty term go; a term
+    that repeats counts once, with its largest weight. More than MOST_TERMS terms are an error.
+    """
+    rows = table.select(F.lower(F.trim("term")).alias("t"), "kind", F.col("weight").cast("double").alias("w")).where("t <> '' and kind in ('strict', 'soft')")
+    got = rows.groupBy("t", "kind").agg(F.coalesce(F.max("w"), F.lit(0.0)).alias("w")).orderBy("t", "kind").limit(MOST_TERMS + 1).collect()
+    if len(got) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms")
+    return [(r.t, r.kind, r.w) for r in got]
+
+
 #: Sum of distinct soft weights that blocks.
 SOFT_SUM = 2.0
 #: (host, path, verdict)
@@ -30,12 +48,13 @@ ARROW = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.s
 
 
 class Vocabulary:
-    """The automaton over both kinds of terms (bounded by the term lists, a parameter)."""
+    """The automaton over both kinds of terms (at most MOST_TERMS)."""
 
-    def __init__(self, strict, soft: dict[str, float]):
+    def __init__(self, terms: list[tuple[str, str, float]]):
         import ahocorasick
 
         self.terms = ahocorasick.Automaton()
+        strict, soft = {t for t, k, _ in terms if k == "strict"}, {t: w for t, k, w in terms if k == "soft"}
         for t in {*strict, *soft}:
             self.terms.add_word(t, (t, t in strict, soft.get(t, 0.0)))
         if len(self.terms):
@@ -104,16 +123,18 @@ class Rules:
         return best
 
 
-def filter_urls(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_sum: float = SOFT_SUM, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, terms: list[tuple[str, str, float]] | None = None, soft_sum: float = SOFT_SUM, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row for every row of ``pages``: page_id, host, path, rule, verdict and the term counts.
 
     A null url, or one without ``://``, has an empty host and path, fits no rule and is judged by
     its terms alone (none in a null). Null ids stay null, repeated rows stay. Only the id and the url
-    are read; narrow, no shuffle.
+    are read; narrow, no shuffle. ``terms``: (term, kind, weight), as ``read_terms`` gives them; by default
+    the package's own.
     """
+    terms = shipped_terms() if terms is None else terms
 
     def make():
-        found, words = Rules(rules), Vocabulary(strict, soft)
+        found, words = Rules(rules), Vocabulary(terms)
 
         def run(ids, urls):
             out = []
@@ -136,9 +157,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     bounded = lambda t: f"regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')"
-    strict = " + ".join(f"{bounded(t)}::int" for t in STRICT)
-    soft_n = " + ".join(f"{bounded(t)}::int" for t in SOFT)
-    soft_w = " + ".join(f"{bounded(t)}::int * {w}::double" for t, w in SOFT.items())
+    terms = shipped_terms()
+    strict = " + ".join(f"{bounded(t)}::int" for t, k, _ in terms if k == "strict")
+    soft_n = " + ".join(f"{bounded(t)}::int" for t, k, _ in terms if k == "soft")
+    soft_w = " + ".join(f"{bounded(t)}::int * {w}::double" for t, k, w in terms if k == "soft")
     fits = lambda h, p: f"((host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}'))"
     by_size = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
     rule = " ".join(f"when {fits(h, p)} then '{h}{p}'" for h, p, _ in by_size)
