@@ -3,8 +3,9 @@
 A vector is coded as a sum of full-dimensional codewords, one of each codebook. Codebooks are learnt on
 a bounded sample, by residual k-means and then by least squares on all codes at once; every row is
 encoded by beam search and kept as codes and the norm of its reconstruction. The first code is the
-row's cell. Queries probe the cells of their best first codewords, score codes from lookup tables of
-inner products, and the best by score are compared exactly on the original vectors.
+row's cell. Queries probe the cells of their best first codewords, as many as the sample shows to be
+needed, score codes from lookup tables of inner products, and the best by score are compared exactly on
+the original vectors.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ TRAIN_ROWS = 8192
 BOOKS, WORDS = 16, 128
 #: Partial codes that the encoder's beam keeps.
 BEAM = 4
-#: Cells that a query probes (all, at every size), rows in a block of a cell, and candidates of a block that are compared exactly.
-PROBES, BLOCK_ROWS, PER_BLOCK = WORDS, 2000, 40
+#: Rows in one bin of cells, queries that meet it at once, and candidates of a bin that are compared exactly.
+BIN_ROWS, QUERY_ROWS, RERANK = 8192, 8192, 200
+#: Share of the sample's true neighbours whose cells must be probed, and rows of the sample that ask for them.
+PROBED, ASKED = 0.99, 512
 
 
 @dataclass(frozen=True)
@@ -111,14 +114,36 @@ def unit_rows(vectors: list, dim: int | None) -> tuple[np.ndarray, np.ndarray]:
     return np.array(at)[good], x[good] / size[good][:, None]
 
 
-def fit(vectors: DataFrame, rows: int = TRAIN_ROWS, books: int = BOOKS, words: int = WORDS) -> Quantiser | None:
-    """A quantiser learnt on at most ``rows`` rows; None where no vector takes part."""
+def needed_probes(q: Quantiser, x: np.ndarray, k: int = 5) -> int:
+    """Cells that a query must probe for PROBED of the true neighbours of the sample's rows (unit vectors) among each other.
+
+    Neighbours are farther in a sample than in the whole table, so this is on the safe side. Vectors without
+    any structure need nearly all cells at every size, clustered ones few.
+    """
+    first, cell = q.books[0], q.encode(x)[:, 0]
+    ranks = []
+    for i in range(min(ASKED, len(x))):
+        near = x @ x[i]
+        near[i] = -np.inf
+        best = np.argsort(-near, kind="stable")[: min(k, len(x) - 1)]
+        place = np.empty(len(first), dtype=np.int64)
+        place[np.argsort((first**2).sum(1) - 2 * first @ x[i], kind="stable")] = np.arange(len(first))
+        ranks.append(place[cell[best]])
+    ranks = np.sort(np.concatenate(ranks)) if ranks else np.zeros(0, dtype=np.int64)
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(PROBED * len(ranks))))]) + 1 if len(ranks) else len(first)
+
+
+def fit(vectors: DataFrame, rows: int = TRAIN_ROWS, books: int = BOOKS, words: int = WORDS) -> tuple[Quantiser, int] | None:
+    """A quantiser learnt on at most ``rows`` rows, and the cells that a query must probe; None where no vector takes part."""
     got = vectors.where("v is not null and size(v) > 0").orderBy(F.xxhash64("id"), "id").limit(rows).collect()
     if not got:
         return None
     sizes = pd.Series([len(r.v) for r in got]).mode()
     _, x = unit_rows([r.v for r in got], int(sizes[0]))
-    return train(x, books, words) if len(x) else None
+    if not len(x):
+        return None
+    q = train(x, books, words)
+    return q, needed_probes(q, x)
 
 
 def _kind(df: DataFrame) -> tuple[str, pa.DataType]:
@@ -146,45 +171,79 @@ def encode(vectors: DataFrame, q: Quantiser) -> DataFrame:
     return common.map_rows(vectors, make, f"id long, same binary, cell int, codes binary, norm double, v {name}", schema)
 
 
-def search(embeddings: DataFrame, queries: DataFrame, k: int = 5, q: Quantiser | None = None, probes: int = PROBES, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def bins_of(sizes: dict[int, int], rows: int = BIN_ROWS) -> tuple[dict[int, tuple[int, int]], int]:
+    """cell: (first bin, bins), and the number of bins: small cells share one, large ones are split over several."""
+    out, at, used = {}, 0, 0
+    for cell in sorted(sizes):
+        n = sizes[cell]
+        if used and used + n > rows:
+            at, used = at + 1, 0
+        parts = -(-n // rows)
+        out[cell] = at, max(1, parts)
+        if parts > 1:
+            at += parts
+        else:
+            used += n
+    return out, at + (used > 0)
+
+
+def search(
+    embeddings: DataFrame, queries: DataFrame, k: int = 5, q: Quantiser | None = None, probes: int | None = None, rerank: int | None = RERANK, id_col: str = "vec_id", vec_col: str = "embedding"
+) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each query by cosine, ties to the smaller id.
 
     ``queries`` has the columns of ``embeddings``; a row isn't its own neighbour. Null ids, null, zero and
     empty vectors, such with null or non-finite parts and such of another length than most take no part.
-    Of equal vectors the k + 1 smallest ids stand for all, which loses no answer and keeps a vector that
-    very many rows share from filling a cell. Rows that repeat are one. Cells are dealt to blocks of bounded
-    size; each block scores its codes from lookup tables and compares its best exactly, so that only k rows a
-    query and block are shuffled on.
+    Rows that repeat are one; of an id with several vectors the smallest that takes part, in the order of its
+    numbers, stands for it, as a candidate and as a query. Of equal vectors the k + 1 smallest ids stand for
+    all, which loses no answer and keeps a vector that very many rows share from filling a cell.
+
+    Cells are gathered in bins of bounded size; a bin meets the queries that probe one of its cells, a bounded
+    number at once, scores its codes from lookup tables and compares its ``rerank`` best exactly, so that only
+    k rows a query and bin are shuffled on. ``probes``: cells a query probes (default: what the sample needs).
+    With rerank=None all rows of the bins are compared exactly; with all cells probed besides, the search is exact.
     """
     spark = embeddings.sparkSession
     folder = common.shared_dir(spark)
     pick = lambda df: df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
     vectors, asked = pick(embeddings), pick(queries)
-    q = fit(vectors) if q is None else q
     if q is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        fitted = fit(vectors)
+        if fitted is None:
+            return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        q, needed = fitted
+        probes = needed if probes is None else probes
+    probes = min(q.books.shape[1] if probes is None else probes, q.books.shape[1])
     order = Window.partitionBy("same").orderBy("id")
-    coded = encode(vectors, q).dropDuplicates(["id"])
+    coded = encode(vectors, q).groupBy("id").agg(F.min(F.struct("v", "same", "cell", "codes", "norm")).alias("x")).select("id", "x.*")
     lists = common.written(coded.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r", "same"), folder, "lists")
     sizes = {r.cell: r["count"] for r in lists.groupBy("cell").count().collect()}  # at most WORDS rows
-    probes = min(probes, q.books.shape[1])
-    blocks = {c: -(-n // BLOCK_ROWS) for c, n in sizes.items()}
-    lists = lists.withColumn("block", F.pmod(F.xxhash64("id"), _lookup(blocks, F.col("cell"))).cast("int"))
+    bins, n_bins = bins_of(sizes)
+    first_of, parts_of = ({c: x[i] for c, x in bins.items()} for i in (0, 1))
+    lists = lists.withColumn("bin", (_lookup(first_of, F.col("cell")) + F.pmod(F.xxhash64("id"), _lookup(parts_of, F.col("cell")))).cast("int"))
     name, kind = _kind(asked)
+    number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    valid = (F.size("v") == q.dim) & F.forall("v", number) & F.exists("v", lambda x: x != 0)
+    asked = common.written(asked.where(valid).groupBy("id").agg(F.min("v").alias("v")), folder, "asked")
+    n_parts = max(1, -(-asked.count() // QUERY_ROWS))
+    lists = lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n_parts)).cast("int"))
 
     def probe():
-        first = q.books[0]
+        first, spread = q.books[0], np.zeros((q.books.shape[1], n_bins), dtype=bool)
+        for c, (at, n) in bins.items():
+            spread[c, at : at + n] = True
 
-        def run(ids, vs):
+        def run(ids, vs, parts):
             at, x = unit_rows(vs, q.dim)
             order = np.argsort(((first**2).sum(1) - 2 * x @ first.T), axis=1, kind="stable")[:, :probes]
-            out = [(ids[i], c, b, vs[i]) for i, cells in zip(at, order.tolist(), strict=True) for c in cells for b in range(blocks.get(c, 0))]
+            out = [(ids[i], b, parts[i], vs[i]) for i, cells in zip(at, order, strict=True) for b in np.flatnonzero(spread[cells].any(axis=0)).tolist()]
             return list(zip(*out, strict=True)) or [[]] * 4
 
         return run
 
-    arrow = pa.schema([("query", pa.int64()), ("cell", pa.int32()), ("block", pa.int32()), ("w", kind)])
-    probed = common.map_rows(asked.dropDuplicates(["id"]), probe, f"query long, cell int, block int, w {name}", arrow)
+    arrow = pa.schema([("query", pa.int64()), ("bin", pa.int32()), ("part", pa.int32()), ("w", kind)])
+    probed = common.map_rows(asked.select("id", "v", "part"), probe, f"query long, bin int, part int, w {name}", arrow)
 
     def score(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -197,20 +256,29 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 5, q: Quantiser |
             w = np.stack(asks["w"].to_numpy()).astype(np.float64)
             length = np.sqrt((w**2).sum(1))
             own = asks["query"].to_numpy()
-            for s in range(0, len(w), 256):
-                table = np.einsum("qd,mkd->mqk", w[s : s + 256], q.books)
-                near = sum(table[m][:, codes[:, m]] for m in range(codes.shape[1])) / norm
-                near[ids[None, :] == own[s : s + 256, None]] = -np.inf
-                for i, t in enumerate(near, s):
-                    best = np.argsort(-t, kind="stable")[:PER_BLOCK]  # ids rise, so ties go to the smaller
-                    best = best[ids[best] != own[i]]
-                    exact = (v[best] * w[i]).sum(1) / (size[best] * length[i])
-                    top = np.lexsort((ids[best], -exact))[:k]
-                    out.append((np.full(len(top), own[i]), ids[best[top]], exact[top]))
+            for s in range(0, len(w), 128):
+                table = np.einsum("qd,mkd->mqk", w[s : s + 128], q.books).astype(np.float32)
+                near = sum(table[m][:, codes[:, m]] for m in range(codes.shape[1])) / norm.astype(np.float32)
+                near[ids[None, :] == own[s : s + 128, None]] = -np.inf
+                if rerank is not None and rerank < len(ids):  # equal scores at the border all go on
+                    a, b = np.nonzero(near >= np.partition(near, len(ids) - rerank, axis=1)[:, len(ids) - rerank, None])
+                else:
+                    a, b = np.nonzero(near > -np.inf)
+                keep = ids[b] != own[s + a]
+                a, b = a[keep], b[keep]
+                exact = np.empty(len(a))
+                for i in range(0, len(a), 20_000):
+                    x, y = s + a[i : i + 20_000], b[i : i + 20_000]
+                    exact[i : i + 20_000] = (v[y] * w[x]).sum(1) / (size[y] * length[x])
+                by = np.lexsort((ids[b], -exact, a))
+                a, b, exact = a[by], b[by], exact[by]
+                start = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))[: len(a)]
+                top = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a)))) < k
+                out.append((own[s + a[top]], ids[b[top]], exact[top]))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
         return pd.DataFrame(dict(zip(("query", "id", "score"), cols, strict=True)))
 
-    found = lists.groupBy("cell", "block").cogroup(probed.groupBy("cell", "block")).applyInPandas(score, "query long, id long, score double")
+    found = lists.drop("cell").groupBy("bin", "part").cogroup(probed.groupBy("bin", "part")).applyInPandas(score, "query long, id long, score double")
     final = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     found = found.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
     return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
@@ -218,7 +286,7 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 5, q: Quantiser |
 
 def _lookup(table: dict[int, int], key):
     pairs = [x for kv in sorted(table.items()) for x in kv]
-    return F.coalesce(F.element_at(F.create_map(*map(F.lit, pairs)), key), F.lit(1)) if pairs else F.lit(1)
+    return F.element_at(F.create_map(*map(F.lit, pairs)), key) if pairs else F.lit(1)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,19 +72,35 @@ def test_neighbours_recall(spark):
     assert hit / total >= 0.9
 
 
-def test_neighbours_recall_on_a_large_table(spark):
-    """Every cell is probed at this size too: with exact comparison of a block's best, what brute force finds is found."""
-    x = np.random.default_rng(3).normal(size=(5000, 48))
-    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
-    q = AQ.train((x / np.linalg.norm(x, axis=1)[:, None])[:2000], books=8)
-    got = AQ.search(table, table.where("vec_id % 50 = 0"), q=q).collect()
+def test_neighbours_on_a_large_table(spark):
+    """Clustered vectors, of which the sample asks for a part of the cells only; recall, and the exact setting."""
+    rng = np.random.default_rng(3)
+    n, centres = 21_000, rng.normal(size=(300, 32)) * 2
+    x = (centres[rng.integers(0, 300, n)] + rng.normal(size=(n, 32))).astype(np.float32).astype(float)
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()}), "vec_id long, embedding array<float>").repartition(4).cache()
     u = x / np.linalg.norm(x, axis=1)[:, None]
-    hit = 0
-    for i in range(0, 5000, 50):
-        s = u @ u[i]
-        s[i] = -9
-        hit += len(set(np.argsort(-s, kind="stable")[:5].tolist()) & {r.vec_id for r in got if r.query_id == i})
-    assert hit / 500 >= 0.999
+    near = u[::50] @ u.T
+    near[np.arange(len(near)), np.arange(0, n, 50)] = -9
+    best = np.argsort(-near, axis=1, kind="stable")[:, :5]
+    vectors = table.selectExpr("vec_id as id", "embedding as v")
+    q, probes = AQ.fit(vectors, rows=4000, books=8)
+    assert probes < 0.8 * AQ.WORDS
+    asked = table.where("vec_id % 50 = 0")
+
+    def recall(**settings):
+        got = AQ.search(table, asked, q=q, **settings).collect()
+        hit = {(r.query_id, r.vec_id) for r in got} & {(50 * i, int(j)) for i, row in enumerate(best) for j in row}
+        return len(hit) / (5 * len(best)), got
+
+    assert recall(probes=probes)[0] >= 0.9
+    share, got = recall(probes=AQ.WORDS, rerank=None)
+    assert share == 1.0 and [r.vec_id for r in sorted(got)] == best.ravel().tolist()
+
+
+def test_bins_hold_bounded_cells():
+    bins, n = AQ.bins_of({0: 5, 1: 5, 3: 25, 4: 1, 7: 9}, 10)
+    assert bins == {0: (0, 1), 1: (0, 1), 3: (1, 3), 4: (4, 1), 7: (4, 1)} and n == 5
+    assert AQ.bins_of({}) == ({}, 0)
 
 
 def test_neighbours_odd_cases(spark):
@@ -91,6 +108,9 @@ def test_neighbours_odd_cases(spark):
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, cell string")
     got = [(r.query_id, r["rank"], r.vec_id) for r in AQ.search(df, df.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 50), (50, 1, 0), (50, 2, 1), (50, 3, 2)]
+    several = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [0.0, 1.0]), (1, [0.0, 0.0]), (2, [1.0, 0.5]), (50, [0.0, 3.0]), (50, [1.0, 0.2])], "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.vec_id) for r in AQ.search(several, several.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 2), (0, 1), (0, 50), (50, 1), (50, 2), (50, 0)]  # 1 stands as (0, 1), 50 as (0, 3)
     same = spark.createDataFrame([(i, [0.5, 0.25]) for i in range(60)], "vec_id long, embedding array<float>")
     assert [r.vec_id for r in AQ.search(same, same.where("vec_id = 50")).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
     assert AQ.search(df.where("false"), df.where("false")).count() == 0
