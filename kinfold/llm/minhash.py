@@ -248,16 +248,25 @@ def classes(docs: DataFrame, k: int = SHINGLE, link: tuple[int, int] = LINK, id_
     pairs = _with_pivots(met.join(there, "node"), there.toDF("h", "n_h", "sig_h")).where(size_ok).select("node", "h", "score", "shared", "n", "n_h")
     pairs = common.written(pairs, folder, "pairs")
 
+    # the texts of members, once: what is compared is read from here, and Spark knows the size of either side
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("binary").alias("body"))
+    used = common.written(met.select("node").union(met.select("h")).distinct(), folder, "used")
+    texts = common.written(texts.join(used, "node", "left_semi"), folder, "texts")
     keys = nodes.select("node", "n", "key")
+    step = iter(range(1, 4))
+
+    def confirmed(ys: DataFrame, xs: DataFrame) -> DataFrame:
+        i = next(step)
+        units = common.written(_units(ys, xs, keys), folder, f"units_{i}").join(texts, "node")
+        return common.written(compare(units, k, link), folder, f"links_{i}")
 
     # each member with its best pivot, then with the other pivots that are still apart
     best = pairs.groupBy("node").agg(F.max(F.struct("score", "shared", "h")).alias("p")).select("node", F.col("p.h").alias("h"))
-    links = common.written(compare(_units(best.withColumn("comp", F.col("node")), best.select("h").distinct().select("h", F.col("h").alias("node"), F.col("h").alias("comp")), keys, texts), k, link), folder, "links_1")
+    links = confirmed(best.withColumn("comp", F.col("node")), best.select("h").distinct().select("h", F.col("h").alias("node"), F.col("h").alias("comp")))
     comps = graph.components(links, folder, "comps_1")
     apart = _with_comps(pairs.select("node", "h").join(best, ["node", "h"], "left_anti"), comps).where("comp <> comp_h")
     hubs = apart.select("h", F.col("h").alias("node"), F.col("comp_h").alias("comp")).distinct()
-    links = links.unionAll(common.written(compare(_units(apart.select("node", "h", "comp"), hubs, keys, texts), k, link), folder, "links_2"))
+    links = links.unionAll(confirmed(apart.select("node", "h", "comp"), hubs))
     comps = graph.components(links, folder, "comps_2")
 
     # all that met a pivot, near to it or not: where components differ, those apart from the pivot against all
@@ -265,9 +274,9 @@ def classes(docs: DataFrame, k: int = SHINGLE, link: tuple[int, int] = LINK, id_
     mixed = around.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
     around = common.written(around.join(mixed, "h", "left_semi"), folder, "around")
     live = common.written(near(_dealt(around.select("h", "node", "comp"), around.where("comp <> comp_h").select("h", "node", "comp"), there, F.ceil(F.count("*") / BLOCK_SIGNATURES)), link), folder, "live")
-    links = links.unionAll(common.written(compare(_units(live.where("not is_x").drop("is_x"), live.where("is_x").drop("is_x"), keys, texts), k, link), folder, "links_3"))
+    links = links.unionAll(confirmed(live.where("not is_x").drop("is_x"), live.where("is_x").drop("is_x")))
     comps = common.written(graph.components(links, folder, "comps_3"), folder, "comps")
-    for name in ("nodes", "member", "met", "pairs", "links_1", "links_2", "links_3", "around", "live"):
+    for name in ("nodes", "member", "met", "pairs", "used", "texts", "around", "live", *(f"{x}_{i}" for x in ("units", "links") for i in (1, 2, 3))):
         common.removed(spark, f"{folder}/{name}")
 
     by_set = sets.join(comps, "node", "left").select("key", F.coalesce("comp", "node").alias("c"))
@@ -293,10 +302,10 @@ def _with_pivots(rows: DataFrame, about: DataFrame) -> DataFrame:
     return rows.join(used, ["h", "__part"]).drop("__part")
 
 
-def _units(ys: DataFrame, xs: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
-    """Units of a comparison on full sets, of about BLOCK shingles and BLOCK_TEXTS texts of each side, with their texts."""
+def _units(ys: DataFrame, xs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Units of a comparison on full sets, of about BLOCK shingles and BLOCK_TEXTS texts of each side."""
     rows = _dealt(ys, xs, keys, F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count("*") / BLOCK_TEXTS)))
-    return rows.join(texts, "node").select("h", "xb", "yc", "is_x", "node", "comp", "key", "body")
+    return rows.select("h", "xb", "yc", "is_x", "node", "comp", "key")
 
 
 def _dealt(ys: DataFrame, xs: DataFrame, more: DataFrame, n_blocks) -> DataFrame:

@@ -343,6 +343,35 @@ def test_minhash_pivots_remove_no_member(spark):
         assert (r.n_shingles, r.component_id, r.kept) == want[r.doc_id]
 
 
+def test_minhash_nested_and_boilerplate_clusters(spark, monkeypatch):
+    """Texts inside texts, and families that share much but not enough: every link of brute force, with blocks of a few texts."""
+    rng = np.random.default_rng(11)
+    words = lambda tag, n: [f"{tag}{i}" for i in rng.permutation(n)]
+    rows, at = [], 0
+    for c in range(6):
+        whole = words(f"n{c}_", 150)
+        for n in (150, 140, 126, 115, 104, 92, 84, 70, 60):  # a chain in which each text holds the next
+            rows.append((at := at + 1, " ".join(whole[:n])))
+    form = words("form", 100)
+    for i in range(60):  # one form with fillings of its own; some fillings agree in part
+        fill = words(f"f{i % 20}_", 30)
+        rows.append((at := at + 1, " ".join([*form[:50], *fill[: int(rng.integers(18, 30))], *form[50:], f"end{i}"])))
+    want = brute_classes(rows, 2)
+    df = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    for block in (minhash.BLOCK_TEXTS, 5):
+        monkeypatch.setattr(minhash, "BLOCK_TEXTS", block)
+        monkeypatch.setattr(minhash, "BLOCK_SIGNATURES", block)
+        for r in minhash.classes(df, 2).collect():
+            assert (r.n_shingles, r.component_id, r.kept) == want[r.doc_id]
+
+
+def test_components_of_a_long_path(spark, tmp_path):
+    """A path in an order that takes many rounds: nothing stops before the edges stay as they are."""
+    order = np.random.default_rng(2).permutation(400)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in zip(order, order[1:], strict=False)], "u long, v long")
+    assert {r.comp for r in graph.components(edges, str(tmp_path), "p").collect()} == {0}
+
+
 def test_estimate_is_near_the_similarity(spark):
     rng = np.random.default_rng(7)
     a = np.unique(rng.integers(0, 1 << 63, 1000, dtype=np.uint64))
