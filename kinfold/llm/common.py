@@ -43,5 +43,20 @@ def map_rows(df: DataFrame, make, schema: str, arrow_schema: pa.Schema) -> DataF
     return df.mapInArrow(run, schema)
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, of which a worker keeps ``most`` in memory."""
+
+    def __init__(self, most: int = 400_000):
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= self.most:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()

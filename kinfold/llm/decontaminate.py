@@ -2,17 +2,21 @@
 
 Items are cut into words and joined in one automaton. A document's words are streamed through it
 while the longest suffix that stands in any item is tracked; wherever that reaches the window
-length (or ends a whole shorter item), the words it covers are hit. Items are taken in blocks of
-bounded size, one automaton each, so that no automaton grows with the number of items; the
-documents pass the blocks one after another within the same task, without a shuffle.
+length (or ends a whole shorter item), the words it covers are hit.
+
+Most words of a corpus stand in no item. So a table of bits of fixed size, of the items' words and of
+their pairs of neighbours, first finds the runs of words that may hold a match (it passes too much at
+times, never too little). Items are dealt to blocks and runs to shares of bounded size, and each task
+streams one share through the one automaton of its block. Neither the driver nor a task ever
+holds all items, and nothing but the bits is sent to all.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +25,10 @@ from . import common
 
 #: Words of a window.
 WINDOW = 10
-#: Item words in one automaton at most (one longer item stands alone); about 40 MB in a worker.
-BLOCK_WORDS = 100_000
+#: Item bytes in one automaton, about (100,000 words, some 40 MB in a worker), and bytes of runs in one share.
+BLOCK_BYTES, SHARE_BYTES = 600_000, 16_000_000
+#: Bits for each word of the items, and all bits at most (8 MB).
+BITS_A_WORD, MOST_BITS = 32, 1 << 26
 
 #: A-Z become a-z, digits and bytes from 0x80 stay, all else becomes a blank: what is left between blanks are the words.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -169,55 +175,125 @@ class Automaton:
                     at = self.short_of[link[at]]
 
 
-def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, id_col: str = "item_id", text_col: str = "text"):
-    """Items in blocks of bounded size. They are read one partition at a time, never all at once."""
-    block: list[tuple[str, list[bytes]]] = []
-    size = 0
-    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("b")).where("i is not null and b is not null")
-    for r in rows.toLocalIterator():
-        ws = words(bytes(r.b))
-        if block and size + len(ws) > block_words:
-            yield block
-            block, size = [], 0
-        if ws:
-            block.append((r.i, ws))
-            size += len(ws)
-    if block:
-        yield block
-
-
-MATCHES = "array<struct<s:int,e:int>>"
-
-
-def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """id, body (text bytes), n_words, spans (hit word ranges, merged), items (sorted ids), for each document."""
-    kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-    arrow = pa.schema([("id", pa.int64()), ("body", pa.binary()), ("n_words", pa.int64()), ("spans", kind), ("items", pa.list_(pa.string()))])
-    df = common.ids_and_bytes(docs, id_col, text_col).selectExpr("id", "body", "0L n_words", f"cast(array() as {MATCHES}) spans", "cast(array() as array<string>) items")
+def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """i (id as text) and b (bytes) of the items that have both."""
+    return benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("b")).where("i is not null and b is not null")
+
+
+def _hashes(ws: list[bytes], cache: common.WordHashes) -> np.ndarray:
+    return np.fromiter(map(cache.__getitem__, ws), dtype=np.uint64, count=len(ws))
+
+
+def _pairs(h: np.ndarray) -> np.ndarray:
+    """Hashes of neighbours."""
+    x = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+class Sieve:
+    """Which runs of words may hold a match: bits of the items' words and pairs, and the fewest words of a match."""
+
+    def __init__(self, bits: np.ndarray, least: int):
+        self.bits, self.least, self.mask = bits, least, np.uint64(64 * len(bits) - 1)
+        self.cache = common.WordHashes()
+
+    def _has(self, h: np.ndarray) -> np.ndarray:
+        at = h & self.mask
+        return (self.bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+    def runs(self, ws: list[bytes]) -> list[tuple[int, int]]:
+        """Ranges of ``least`` words and more in which every word and every pair of neighbours may stand in an item."""
+        if not self.least or len(ws) < self.least:
+            return []
+        h = _hashes(ws, self.cache)
+        known = self._has(h)
+        if not known.any():
+            return []
+        joined = known[1:] & known[:-1]
+        joined[joined] = self._has(_pairs(h)[joined])
+        start = np.flatnonzero(known & ~np.concatenate(([False], joined)))
+        end = np.flatnonzero(known & ~np.concatenate((joined, [False]))) + 1
+        long = end - start >= self.least
+        return list(zip(start[long].tolist(), end[long].tolist(), strict=True))
+
+
+def sieve(items: DataFrame, window: int) -> Sieve:
+    """Built from the items in tasks; the driver gets at most MOST_BITS bits."""
+    total = items.agg(F.sum(F.octet_length("b"))).first()[0] or 0
+    n_bits = min(MOST_BITS, 1 << max(12, (BITS_A_WORD * total // 4).bit_length()))
+
+    def mark(batches):
+        cache = common.WordHashes()
+        for b in batches:
+            slots, sizes = [np.empty(0, dtype=np.uint64)], set()
+            for body in b.column(0).to_pylist():
+                if ws := words(body):
+                    h = _hashes(ws, cache)
+                    slots += [h, _pairs(h)]
+                    sizes.add(min(window, len(ws)))
+            slot = np.unique(np.concatenate(slots) & np.uint64(n_bits - 1))
+            at, bit = (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63))
+            first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))[: len(at)]
+            words_of = np.bitwise_or.reduceat(bit, first) if len(at) else bit
+            sizes = np.array(sorted(sizes), dtype=np.int64)  # places below 0 stand for sizes
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((at[first], -sizes))), pa.array(np.concatenate((words_of.view(np.int64), np.zeros_like(sizes))))], ["at", "bits"])
+
+    got = items.select("b").mapInArrow(mark, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    at, bits = got["at"].to_numpy(dtype=np.int64), got["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    table = np.zeros(n_bits // 64, dtype=np.uint64)
+    table[at[at >= 0]] = bits[at >= 0]
+    return Sieve(table, int(-at[at < 0].max()) if (at < 0).any() else 0)
+
+
+def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, share_bytes: int = SHARE_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> tuple[DataFrame, DataFrame]:
+    """(id, tag, n_words) of every row, and (id, tag, spans, items) of those that are hit.
+
+    tag is the text's hash, so that an id may repeat with several texts. spans: hit word ranges (s, e) in order,
+    which may touch and overlap where several blocks have found them; items: the ids that occur, sorted.
+    """
+    spark = docs.sparkSession
+    folder = common.shared_dir(spark)
+    items = items_of(benchmark, item_col)
+    total = items.agg(F.sum(F.octet_length("b"))).first()[0] or 0
+    n_blocks, filter_ = 1 + total // block_bytes, sieve(items, window)
 
-    def step(block):
-        def make():
-            automaton = Automaton(block, window)
+    def make():
+        def run(ids, tags, bodies):
+            n, found = [], []
+            for body in bodies:
+                ws = words(body)
+                n.append(len(ws))
+                found.append([{"s": s, "w": b" ".join(ws[s:e])} for s, e in filter_.runs(ws)])
+            return ids, tags, n, found
 
-            def run(ids, bodies, _, spans, items):
-                out_n, out_s, out_i = [], [], []
-                for body, s, i in zip(bodies, spans, items, strict=True):
-                    ws = words(body)
-                    more, found = automaton.match(ws)
-                    out_n.append(len(ws))
-                    out_s.append(merge(chain(((x["s"], x["e"]) for x in s), more)) if more else s)
-                    out_i.append(sorted(found.union(i)) if found else i)
-                return ids, bodies, out_n, out_s, out_i
+        return run
 
-            return run
+    arrow = pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("n_words", pa.int64()), ("runs", pa.list_(pa.struct([("s", pa.int32()), ("w", pa.binary())])))])
+    df = common.ids_and_bytes(docs, id_col, text_col).select("id", F.xxhash64("body").alias("tag"), "body")
+    read = common.written(common.map_rows(df, make, "id long, tag long, n_words long, runs array<struct<s:int,w:binary>>", arrow), folder, "read")
+    runs = read.where(F.size("runs") > 0).select("id", "tag", F.explode("runs").alias("r")).select("id", "tag", "r.s", "r.w")
+    n_shares = 1 + (runs.agg(F.sum(F.octet_length("w"))).first()[0] or 0) // share_bytes
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    runs = runs.withColumn("share", F.pmod(F.xxhash64("id", "tag", "s"), F.lit(n_shares)).cast("int")).withColumn("block", every(n_blocks))
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("i"), F.lit(n_blocks)).cast("int")).withColumn("share", every(n_shares))
+
+    def match(of: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(of) and len(rows):
+            automaton = Automaton([(i, words(b)) for i, b in sorted(zip(of["i"], of["b"], strict=True))], window)
+            for i, tag, s, w in zip(rows["id"], rows["tag"], rows["s"], rows["w"], strict=True):
+                spans, found = automaton.match(w.split(b" "))
+                if spans:
+                    out.append((i, tag, [{"s": x["s"] + s, "e": x["e"] + s} for x in merge(spans)], sorted(found)))
+        return pd.DataFrame(out, columns=["id", "tag", "spans", "items"]).astype({"id": "Int64"})
+
+    hits = dealt.groupBy("block", "share").cogroup(runs.groupBy("block", "share")).applyInPandas(match, f"id long, tag long, spans {MATCHES}, items array<string>")
+    joined = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    return read.select("id", "tag", "n_words"), hits.groupBy("id", "tag").agg(joined("spans"), joined("items"))
 
-        return make
 
-    schema = f"id long, body binary, n_words long, spans {MATCHES}, items array<string>"
-    done = False
-    for block in blocks(benchmark, block_words, item_col, text_col):
-        df, done = common.map_rows(df, step(block), schema, arrow), True
-    return df if done else common.map_rows(df, step([]), schema, arrow)  # no items: only words are counted
+MATCHES = "array<struct<s:int,e:int>>"
 
 
 def merge(spans) -> list[dict]:
@@ -230,16 +306,19 @@ def merge(spans) -> list[dict]:
     return out
 
 
-def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, share_bytes: int = SHARE_BYTES) -> DataFrame:
     """One row for every row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null texts have no words; null ids stay null; repeated rows are each reported; items that are null,
     empty or without words have no window; a repeated item id is one item. Without items nothing is hit.
     """
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
-    return matched(docs, benchmark, window, block_words).select(
-        F.col("id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated")
-    )
+    read, hits = matched(docs, benchmark, window, block_bytes, share_bytes)
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+    step = lambda acc, x: F.struct(F.greatest(acc["end"], x["e"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(acc["end"], x["s"]))).alias("n"))
+    hits = hits.select(F.col("id").alias("id2"), F.col("tag").alias("tag2"), F.aggregate("spans", start, step, lambda acc: acc["n"]).alias("hit"), "items")
+    rows = read.join(hits, F.col("id").eqNullSafe(F.col("id2")) & (F.col("tag") == F.col("tag2")), "left")
+    n_hit, items = F.coalesce("hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
+    return rows.select(F.col("id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -252,32 +331,35 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words
     the first and the last character of a span's words goes with it; other text stays as it is, and
     n_chars is counted anew. Texts without a hit, null ones among them, pass unchanged.
     """
-    keep = docs.columns
-    kinds = "doc_id long, text string, lang string, source string, n_chars long"
-    arrow = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())])
-    todo = list(blocks(benchmark, block_words=BLOCK_WORDS))
+    keep = [c for c in CLEANED if c in docs.columns]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    read, hits = matched(docs, benchmark, window)
+    folder = common.shared_dir(docs.sparkSession)
+    hits = common.written(hits.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), "spans"), folder, "hits")  # its size is known to what joins it
+    this = docs["doc_id"].eqNullSafe(hits["__id"]) & (F.xxhash64(F.coalesce(docs["text"].cast("binary"), F.lit(b""))) == hits["__tag"])
 
     def make():
-        automata = [Automaton(block, window) for block in todo]
-
-        def run(ids, texts, langs, sources, sizes):
+        def run(ids, texts, langs, sources, sizes, found):
             out = []
-            for i, text, lang, source, n in zip(ids, texts, langs, sources, sizes, strict=True):
-                if text:
-                    body = text.encode()
-                    ws = words(body)
-                    spans = merge(chain.from_iterable(a.match(ws)[0] for a in automata))
-                    if sum(x["e"] - x["s"] for x in spans) > max_coverage * len(ws):
-                        continue
-                    if spans := [x for x in spans if x["e"] - x["s"] > max_words]:
-                        text = without(body, spans).decode("utf-8", "replace")
-                        n = len(text)
+            for i, text, lang, source, n, spans in zip(ids, texts, langs, sources, sizes, found, strict=True):
+                body = text.encode()
+                spans = merge((x["s"], x["e"]) for x in spans)
+                if sum(x["e"] - x["s"] for x in spans) > max_coverage * len(words(body)):
+                    continue
+                if spans := [x for x in spans if x["e"] - x["s"] > max_words]:
+                    text = without(body, spans).decode("utf-8", "replace")
+                    n = len(text)
                 out.append((i, text, lang, source, n))
             return list(zip(*out, strict=True)) or [[]] * 5
 
         return run
 
-    return common.map_rows(docs.selectExpr("cast(doc_id as long) doc_id", "text", "lang", "source", "cast(n_chars as long) n_chars"), make, kinds, arrow).select(*[c for c in keep if c in arrow.names])
+    arrow = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())])
+    cut = common.map_rows(docs.join(hits, this).select(*CLEANED, "spans"), make, "doc_id long, text string, lang string, source string, n_chars long", arrow)
+    return docs.join(hits, this, "left_anti").unionByName(cut).select(*keep)
+
+
+CLEANED = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def without(body: bytes, spans: list[dict]) -> bytes:

@@ -154,7 +154,7 @@ def test_automaton_against_brute_force():
 
 def test_decontamination_odd_cases(spark, odd, nothing):
     items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven"), (2, None), (3, ""), (4, "Seven EIGHT"), (4, "Seven EIGHT"), (None, "a")], "item_id long, text string")
-    blocked = {r.doc_id: r for r in decontaminate.report(odd, items, block_words=1).collect()}
+    blocked = {r.doc_id: r for r in decontaminate.report(odd, items, block_bytes=1, share_bytes=1).collect()}
     whole = {r.doc_id: r for r in decontaminate.report(odd, items).collect()}
     assert blocked == whole and len(whole) == 11
     assert (whole[1].n_words, whole[2].n_hit, whole[3].n_items, whole[3].contaminated) == (0, 0, 2, True)
@@ -165,6 +165,37 @@ def test_decontamination_odd_cases(spark, odd, nothing):
     assert 3 not in kept and kept[1].text is None and kept[7].text == "a" and None in kept
 
 
+def test_decontamination_in_many_blocks(spark):
+    """Fifty automata, of which each task has one, and many shares of runs, against brute force; an id may repeat."""
+    rng = np.random.default_rng(21)
+    vocab = [f"v{i}" for i in range(30)]
+    text = lambda n: " ".join(rng.choice(vocab, n))
+    items = [(f"i{k}", text(int(rng.integers(1, 25)))) for k in range(60)]
+    rows = []
+    for i in range(80):
+        parts = [text(int(rng.integers(0, 40))), items[int(rng.integers(60))][1], text(int(rng.integers(0, 40)))]
+        rows.append((i // 2 * 2 if i % 5 == 0 else i, ", ".join(parts).upper()))
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    size = sum(len(t) for _, t in items)
+    assert 1 + size // (size // 50) >= 50
+    got = decontaminate.report(spark.createDataFrame(rows, "doc_id long, text string"), benchmark, block_bytes=size // 50, share_bytes=2000).collect()
+    want = []
+    for i, t in rows:
+        ws = decontaminate.words(t.encode())
+        hit, found = brute_hits([(n, decontaminate.words(x.encode())) for n, x in items], ws, decontaminate.WINDOW)
+        want.append((i, len(ws), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_sieve_lets_every_match_through(spark):
+    items = decontaminate.items_of(spark.createDataFrame([(1, "a b c"), (2, "z")], "item_id long, text string"))
+    s = decontaminate.sieve(items, 10)
+    assert s.least == 1
+    runs = s.runs([b"q", b"a", b"b", b"c", b"q", b"z", b"b"])
+    assert (1, 4) in runs and any(a <= 5 < e for a, e in runs)
+    assert decontaminate.sieve(items.where("false"), 10).runs([b"a"]) == []
+
+
 def test_clean_cuts_only_spans(spark):
     items = spark.createDataFrame([(1, "b c d e f g h i j k")], "item_id long, text string")
     text = "x, " * 30 + "B c-d e f g h i j K! tail"
