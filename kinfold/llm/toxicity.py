@@ -1,9 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words become classes (insult, threat, target, negation, report); small transducers for negation,
-reported speech, targets and clause borders are composed into one, which reads a text once and gives
-the kind of each clause. Kinds, not isolated words, are weighted. The insult lexicon (whole words and
-word beginnings) and the weights are learnt from a bounded sample of labelled rows.
+Words become classes (insult, threat, target, negation, report, quotation mark); small transducers for
+negation, quotations, reported speech, targets and clause borders are composed into one, which reads a text
+once and gives the kind of each clause. The kinds of clauses, not isolated words, are weighted: a direct
+insult never counts less than one without a target, and a negated or reported one never more.
+
+From a bounded sample of labelled rows are learnt the insult lexicon (whole words and word beginnings), the
+words of context (a seed stays only where the labels don't contradict it; words before a match that make it
+harmless, or in its clause that make it toxic, come in) and the weights, which stay at a prior where the
+sample tells nothing.
 """
 
 from __future__ import annotations
@@ -31,8 +36,11 @@ STEMS = (4, 5, 6, 7, 8)
 MARGIN = 4.0
 #: Tokens that a negation reaches.
 SCOPE = 3
+#: Labelled texts in which a word of context must stand beside a match before the labels can contradict its seed.
+TELLING = 5
 
-OTHER, TARGET, NEGATION, REPORT, INSULT, THREAT, BREAK = range(7)
+OTHER, TARGET, NEGATION, REPORT, INSULT, THREAT, QUOTE, BREAK, LINE = range(9)
+CLASSES = range(9)
 SEEDS = {
     TARGET: "you your yours yourself u he she they him her them this that these those who du dich dir ihr sie er dein deine tu toi te ton vous votre il elle ils usted ustedes tú ti él ella ellos".split(),
     NEGATION: "not no never neither nor without isn't aren't wasn't nicht kein keine nie niemals ne pas jamais non sin nunca jamás".split(),
@@ -41,9 +49,10 @@ SEEDS = {
     THREAT: "kill murder hurt destroy beat shoot stab strangle töten umbringen schlagen tuer frapper matar golpear".split(),
 }
 
-#: Kinds of clauses, weakest first; KIND_NONE is a clause without a match.
+#: Kinds of clauses, weakest first; "none" is a clause without a match.
 KINDS = ("none", "reported", "negated", "threat", "insult", "direct_threat", "direct_insult")
-NEGATED, REPORTED, DIRECT = 10, 20, 40  # marks that transducers add to INSULT or THREAT
+#: Marks that transducers add: to INSULT or THREAT the first two, to BREAK or LINE the others.
+NEGATED, QUOTED, SAID, AIMED = 16, 32, 64, 128
 
 
 @dataclass(frozen=True)
@@ -76,7 +85,8 @@ def negation(scope: int = SCOPE) -> Transducer:
     step = {}
     for s in range(scope + 1):
         step[s, NEGATION] = scope, OTHER
-        step[s, BREAK] = 0, BREAK
+        for x in (BREAK, LINE):
+            step[s, x] = 0, x
         for x in (OTHER, TARGET, REPORT):
             step[s, x] = max(0, s - 1), x
         for x in (INSULT, THREAT):
@@ -84,54 +94,71 @@ def negation(scope: int = SCOPE) -> Transducer:
     return Transducer(step)
 
 
+def quotation() -> Transducer:
+    """Marks matches between quotation marks; a line's end closes them."""
+    step = {(s, QUOTE): (1 - s, OTHER) for s in (0, 1)} | {(1, LINE): (0, LINE)}
+    return Transducer(step | {(1, x + n): (1, x + n + QUOTED) for x in (INSULT, THREAT) for n in (0, NEGATED)})
+
+
 def report() -> Transducer:
-    """Marks matches that follow a verb of saying in the same clause."""
-    step = {(s, BREAK): (0, BREAK) for s in (0, 1)} | {(s, REPORT): (1, OTHER) for s in (0, 1)}
-    return Transducer(step | {(1, x + n): (1, x + n + REPORTED) for x in (INSULT, THREAT) for n in (0, NEGATED)})
+    """Marks the end of a clause that holds a verb of saying, before or behind a match."""
+    step = {(s, REPORT): (1, OTHER) for s in (0, 1)}
+    return Transducer(step | {(s, x): (0, x + SAID * s) for s in (0, 1) for x in (BREAK, LINE)})
 
 
 def target() -> Transducer:
-    """Marks matches in whose clause a target came before."""
-    step = {(s, BREAK): (0, BREAK) for s in (0, 1)} | {(s, TARGET): (1, OTHER) for s in (0, 1)}
-    return Transducer(step | {(1, x): (1, x + DIRECT) for x in (INSULT, THREAT)})
+    """Marks the end of a clause that holds a target, before or behind a match."""
+    step = {(s, TARGET): (1, OTHER) for s in (0, 1)}
+    return Transducer(step | {(s, x + said): (0, x + said + AIMED * s) for s in (0, 1) for x in (BREAK, LINE) for said in (0, SAID)})
 
 
 def clause() -> Transducer:
-    """At each border, gives the strongest kind of the clause that ends there."""
-    kind = {INSULT: 4, THREAT: 3, INSULT + DIRECT: 6, THREAT + DIRECT: 5}
+    """At each border, gives the kind of the clause that ends there: that of its strongest match, by what the clause holds."""
+    reported, negated, threat, insult, direct = 1, 2, 3, 4, {3: 5, 4: 6}
+    match = {INSULT: insult, THREAT: threat}
     for x in (INSULT, THREAT):
-        kind |= {x + NEGATED: 2, x + REPORTED: 1, x + NEGATED + REPORTED: 1}
+        match |= {x + NEGATED: negated, x + QUOTED: reported, x + NEGATED + QUOTED: reported}
     step = {}
-    for s in range(len(KINDS)):
-        step[s, BREAK] = 0, -1 - s
-        for x, k in kind.items():
+    for s in range(insult + 1):
+        for x, k in match.items():
             step[s, x] = max(s, k), OTHER
+        for x in (BREAK, LINE):
+            for said in (0, SAID):
+                for aimed in (0, AIMED):
+                    kind = reported if s and said else direct.get(s, s) if aimed else s
+                    step[s, x + said + aimed] = 0, -1 - kind
     return Transducer(step)
 
 
 def grammar() -> list[list[tuple[int, int]]]:
     """The composed transducer as a table: [state][class] -> (state, output); outputs below 0 are -1 - kind."""
-    classes = range(7)
-    middle = compose(compose(negation(), report(), classes), target(), classes)
-    whole = compose(middle, clause(), classes)
-    return [[whole(s, x) for x in classes] for s in range(1 + max(s for s, _ in whole.step))]
+    whole = negation()
+    for part in (quotation(), report(), target(), clause()):
+        whole = compose(whole, part, CLASSES)
+    return [[whole(s, x) for x in CLASSES] for s in range(1 + max(s for s, _ in whole.step))]
 
 
-_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n|]")
+_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n|\"“”„«»]")
 _WORD = re.compile(r"[^\W\d_]+")
+_SIGNS = {"\n": LINE} | dict.fromkeys(".!?;:|", BREAK) | dict.fromkeys('"“”„«»', QUOTE)
+
+
+def contexts(classes=(TARGET, NEGATION, REPORT, THREAT)) -> dict[str, int]:
+    """The class of each seed."""
+    return {w: c for c in classes for w in SEEDS[c]}
 
 
 @dataclass
 class Model:
-    """Insults (whole words and word beginnings) and the weights of ``features``, of which the last is the bias."""
+    """Insults (whole words and word beginnings), the weights of ``features``, of which the last is the bias, and the class of each word of context."""
 
     words: frozenset
     stems: frozenset
     weights: list[float]
+    context: dict[str, int] = field(default_factory=contexts)
 
     def grammar(self):
-        lexicon = {w: c for c, ws in SEEDS.items() if c != INSULT for w in ws}
-        return Reader(self.words, self.stems, lexicon)
+        return Reader(self.words, self.stems, self.context)
 
 
 class Reader:
@@ -143,34 +170,56 @@ class Reader:
     def insult(self, word: str) -> bool:
         return word in self.words or any(word[:k] in self.stems for k in self.sizes)
 
-    def clauses(self, text: str) -> Counter:
-        """How many clauses there are of each kind but none."""
+    def classes(self, text: str) -> list[tuple[str, int]]:
+        """(word, class) of a text's tokens, with a line's end behind them; empty if nothing in it is a match."""
         text = text.lower()
         seen = set(_WORD.findall(text))
         bad = {w for w in seen if self.insult(w)}
         if not bad and self.threats.isdisjoint(seen):
-            return Counter()
-        lexicon, table, state, kinds = self.lexicon, self.table, 0, Counter()
-        for t in [*_TOKEN.findall(text), "\n"]:
-            c = INSULT if t in bad else BREAK if t in ".!?;:\n|" else lexicon.get(t, OTHER)
-            found = (c,)
+            return []
+        of = lambda w: INSULT if w in bad else self.lexicon.get(w, OTHER)
+        out = []
+        for t in _TOKEN.findall(text):
+            c = _SIGNS[t] if t in _SIGNS else of(t)
             if c == OTHER and "'" in t:  # a joined word that is none itself is read by what matches in its parts
-                found = [x for w in t.split("'") if (x := INSULT if w in bad else lexicon.get(w, OTHER)) != OTHER] or found
-            for c in found:
-                state, out = table[state][c]
-                if out < -1:
-                    kinds[-1 - out] += 1
+                out += [(w, x) for w in t.split("'") if (x := of(w)) != OTHER] or [(t, c)]
+            else:
+                out.append((t, c))
+        return [*out, ("\n", LINE)]
+
+    def clauses(self, text: str) -> Counter:
+        """How many clauses there are of each kind but none."""
+        table, state, kinds = self.table, 0, Counter()
+        for _, c in self.classes(text):
+            state, out = table[state][c]
+            if out < -1:
+                kinds[-1 - out] += 1
         return kinds
 
     def features(self, text: str) -> list[float]:
+        """For each kind of clause the logarithm of their number, and whether there is one; then 1."""
         kinds = self.clauses(text)
-        insults = kinds[4] + kinds[6]
-        n = [float(kinds[k]) for k in range(1, len(KINDS))]
-        return [*(math.log1p(x) for x in n), float(insults > 0), float(kinds[3] + kinds[5] > 0), math.log1p(sum(n)), 1.0]
+        n = [kinds[k] for k in range(1, len(KINDS))]
+        return [*(math.log1p(x) for x in n), *(float(x > 0) for x in n), 1.0]
+
+    def around(self, text: str) -> tuple[set[str], set[str]]:
+        """Words within SCOPE before a match in its clause, and all other words of clauses with a match."""
+        before, clause, words, match = set(), set(), [], False
+        for w, c in self.classes(text):
+            if c in (BREAK, LINE):
+                if match:
+                    clause |= set(words)
+                words, match = [], False
+            elif c in (INSULT, THREAT):
+                before |= set(words[-SCOPE:])
+                match = True
+            elif c != QUOTE:
+                words.append(w)
+        return before, clause
 
 
-#: Weights that hold where nothing can be learnt: any matched insult outweighs the bias.
-PRIOR = [0.2, 0.2, 0.3, 1.0, 0.6, 1.5, 3.0, 0.5, 0.5, -3.0]
+#: Weights before anything is learnt (and where the sample tells nothing): numbers of clauses, then presence, by kind; the bias.
+PRIOR = [0.2, 0.2, 0.4, 0.5, 0.6, 0.6, 0.8, 0.8, 2.2, 3.0, 4.0, 4.2, -3.0]
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -257,7 +306,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     common.removed(docs.sparkSession, folder)
     words, stems = lexicon(entries)
     words |= seeds
-    reader = Model(words, stems, PRIOR).grammar()
+    context = learn_context(sample, Model(words, stems, PRIOR).grammar(), rows)
+    reader = Model(words, stems, PRIOR, context).grammar()
 
     def measure(batches):
         for b in batches:
@@ -266,7 +316,63 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
     seen = sample.mapInArrow(measure, "x array<double>, y int").groupBy("x", "y").count().collect()
     x, y, k = np.array([r.x for r in seen]), np.array([r.y for r in seen], dtype=float), np.array([r["count"] for r in seen], dtype=float)
-    return Model(words, stems, fit(x, y, k).tolist())
+    return Model(words, stems, ordered(fit(x, y, k, np.array(PRIOR))).tolist(), context)
+
+
+def learn_context(sample: DataFrame, reader: Reader, rows: int) -> dict[str, int]:
+    """The class of each word of context, by the labels of the texts in which it stands beside a match.
+
+    A negation or verb of saying must make matches harmless and a target must not, as far as TELLING texts or
+    more tell. Other words before a match whose texts are surprisingly seldom toxic become negations, words of
+    its clause whose texts are surprisingly often toxic targets. At most ``rows`` words come to the driver.
+    """
+    seeds = reader.lexicon
+
+    def count(batches):
+        for b in batches:
+            found = Counter()
+            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                before, clause = reader.around(text)
+                y = bool(y)
+                found.update(("before", w, y) for w in before)
+                found.update(("clause", w, y) for w in clause)
+                if before or clause or reader.classes(text):
+                    found["", "", y] += 1
+            rows = [(*k, n) for k, n in found.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.bool_(), pa.int64()))], ["place", "w", "y", "n"])
+
+    counts = sample.mapInArrow(count, "place string, w string, y boolean, n long").groupBy("place", "w")
+    counts = counts.agg(F.coalesce(F.sum(F.when(F.col("y"), F.col("n"))), F.lit(0)).alias("p"), F.coalesce(F.sum(F.when(~F.col("y"), F.col("n"))), F.lit(0)).alias("q"))
+    folder = common.shared_dir(sample.sparkSession)
+    counts = common.written(counts, folder, "context")  # read twice
+    total = counts.where("place = ''").first()
+    kept = dict(seeds)
+    if total and total.p and total.q:
+        base, n_found = total.p / (total.p + total.q), counts.count()
+        telling = counts.where("place <> ''").where(F.col("w").isin(list(seeds)) | (F.col("p") + F.col("q") >= TELLING))
+        for r in telling.orderBy(F.desc(F.col("p") + F.col("q")), "w").limit(rows).collect():
+            n, rate, seed = r.p + r.q, r.p / (r.p + r.q), seeds.get(r.w)
+            surprise = sum(x * math.log(x / n / share) for x, share in ((r.p, base), (r.q, 1 - base)) if x)
+            strange = surprise >= math.log(n_found) + MARGIN
+            if seed == NEGATION and r.place == "before" and n >= TELLING and rate > base / 2:
+                kept.pop(r.w, None)
+            elif seed in (REPORT, TARGET) and r.place == "clause" and n >= TELLING and (rate > base / 2 if seed == REPORT else rate < base / 2):
+                kept.pop(r.w, None)
+            elif seed is None and strange and r.place == "before" and rate < base / 2:
+                kept[r.w] = NEGATION
+            elif seed is None and strange and r.place == "clause" and rate > base:
+                kept.setdefault(r.w, TARGET)
+    common.removed(sample.sparkSession, folder)
+    return kept
+
+
+def ordered(w: np.ndarray) -> np.ndarray:
+    """Weights in the order of the kinds: negated and reported ones at most those of a plain match, direct ones at least."""
+    w = w.copy()
+    for of in (w[:6], w[6:12]):  # views: reported, negated, threat, insult, direct threat, direct insult
+        of[4], of[5] = max(of[4], of[2]), max(of[5], of[3])
+        of[0], of[1] = min(of[0], of[3]), min(of[1], of[3])
+    return w
 
 
 def lexicon(entries: dict[str, tuple[float, int]]) -> tuple[frozenset, frozenset]:
@@ -288,13 +394,13 @@ def lexicon(entries: dict[str, tuple[float, int]]) -> tuple[frozenset, frozenset
     return frozenset(words), frozenset(stems)
 
 
-def fit(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
-    """Logistic regression by Newton steps; the ridge spares the bias (last column)."""
-    w, penalty = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
-    penalty[-1, -1] = 1e-6
+def fit(x: np.ndarray, y: np.ndarray, n: np.ndarray, prior: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
+    """Logistic regression by Newton steps, drawn to the prior weights; the bias (last column) is free."""
+    w, penalty = prior.copy(), ridge * np.eye(x.shape[1])
+    penalty[-1, -1] = 1e-3
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (n * (y - p)) - penalty @ w
+        slope = x.T @ (n * (y - p)) - penalty @ (w - prior)
         step = np.linalg.solve(x.T @ (x * (n * np.maximum(p * (1 - p), 1e-9))[:, None]) + penalty, slope)
         w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
@@ -326,7 +432,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for i, h, t in zip(ids, held, texts, strict=True):
                 x = reader.features(t)
                 p = _sigmoid(sum(a * b for a, b in zip(w, x, strict=True)))
-                out.append((i, h, p, int(p >= 0.5), round(math.expm1(x[-2]))))
+                out.append((i, h, p, int(p >= 0.5), round(sum(map(math.expm1, x[: len(KINDS) - 1])))))
             return list(zip(*out, strict=True)) or [[]] * 5
 
         return run

@@ -531,8 +531,11 @@ def test_transducers_mark_and_reset():
         return out
 
     T, N, R, I, H, B, O = toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.INSULT, toxicity.THREAT, toxicity.BREAK, toxicity.OTHER  # noqa: E741
+    Q, L = toxicity.QUOTE, toxicity.LINE
     assert kinds([T, O, I, B, I, B, N, O, I, B, R, I, B, T, H, B, O, B]) == ["direct_insult", "insult", "negated", "reported", "direct_threat", "none"]
     assert kinds([N, O, O, O, I, B]) == ["insult"]
+    assert kinds([I, T, B, H, O, R, L, Q, I, B, I, Q, B, I, L, Q, L, I, L]) == ["direct_insult", "reported", "reported", "reported", "insult", "none", "insult"]
+    assert kinds([N, I, I, B, T, N, H, L]) == ["insult", "negated"] if toxicity.SCOPE < 1 else ["negated", "negated"]
 
 
 def test_insults_and_threats_in_joined_words():
@@ -551,7 +554,12 @@ def test_toxicity_on_held_out_labels(spark, odd, nothing):
     docs, labels = common.read(spark, sf, "documents"), common.read(spark, sf, "labels")
     model = toxicity.train(docs, labels)
     rows = toxicity.score(docs, model).where("held_out").join(labels, "doc_id").select("toxic", "predicted").collect()
-    assert sum(r.toxic == r.predicted for r in rows) / len(rows) >= 0.95
+    hit = sum(r.toxic and r.predicted for r in rows)
+    assert hit / sum(r.toxic for r in rows) >= 0.9 and hit / sum(r.predicted for r in rows) >= 0.9
+    count, there = model.weights[:6], model.weights[6:12]
+    for w in (count, there):
+        assert w[5] >= w[3] >= max(w[0], w[1]) and w[4] >= w[2]
+    assert min(there[2:]) > 0  # every composed kind carries weight
     got = toxicity.score(odd, model).collect()
     assert len(got) == 12 and all(0 <= r.score <= 1 for r in got)
     assert {r.held_out for r in got if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0} <= {True}
@@ -559,6 +567,38 @@ def test_toxicity_on_held_out_labels(spark, odd, nothing):
     assert toxicity.reject(odd, model).count() == 12
 
 
+def test_toxicity_needs_its_grammar(spark):
+    """A corpus in which context decides: without the grammar, matched words alone do much worse on held-out rows.
+
+    ``zork`` is a negation and ``blim`` a harmless start that no seed knows; ``nie`` softens nothing here.
+    """
+    rng = np.random.default_rng(5)
+    pick = lambda of: of[int(rng.integers(len(of)))]
+    bad, filler = ["idiot", "moron", "loser", "clown"], ["".join(rng.choice(list("bcdfghjkl"), 6)) for _ in range(200)]
+    rude = ["you are a {}", "you {}", "{} that you are", "what a {} he is", "nie {} you are"]
+    mild = ["you are not a {}", "she said he is a {}", "he is a {} she wrote", 'the sign read "{}" there', "you are zork a {}", "zork {} at all", "blim {}", "what a day he is nie here"]
+    rows, labels = [], []
+    for i in range(1500):
+        toxic = int(rng.random() < 0.4)
+        words = lambda: " ".join(pick(filler) for _ in range(int(rng.integers(4, 12))))
+        core = pick(rude if toxic else mild).format(pick(bad)) if toxic or rng.random() < 0.7 else words()
+        rows.append((i, f"{words()}. {core}. {words()}"))
+        labels.append((i, toxic))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert model.context["zork"] == toxicity.NEGATION and model.context["blim"] == toxicity.NEGATION and "nie" not in model.context
+    sample = toxicity.labelled(docs, labels).collect()
+    bare = toxicity.Model(model.words, model.stems, toxicity.PRIOR, {})
+    x = np.array([bare.grammar().features(r.text) for r in sample])
+    bare.weights = toxicity.ordered(toxicity.fit(x, np.array([float(r.y) for r in sample]), np.ones(len(x)), np.array(toxicity.PRIOR))).tolist()
+
+    def f1(m):
+        r = toxicity.score(docs, m).where("held_out").join(labels, "doc_id").agg(F.sum(F.col("toxic") * F.col("predicted")).alias("h"), F.sum("predicted").alias("p"), F.sum("toxic").alias("t")).first()
+        return 2 * r.h / (r.p + r.t)
+
+    assert f1(model) >= 0.95 and f1(model) - f1(bare) >= 0.2
+
+
 def test_toxicity_without_labels(spark, odd):
     model = toxicity.train(odd, spark.createDataFrame([], "doc_id long, toxic int"))
     df = spark.createDataFrame([(1, "you are an idiot"), (2, "a fine day")], "doc_id long, text string")
