@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 
 import pyarrow as pa
@@ -39,14 +40,26 @@ def map_rows(df: DataFrame, make, schema: str, arrow_schema: pa.Schema) -> DataF
         for b in batches:
             cols = fn(*[c.to_pylist() for c in b.columns])
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow_schema, strict=True)], schema=arrow_schema)
+            del b, cols
+        del fn
+        tidy()
 
     return df.mapInArrow(run, schema)
 
 
+def tidy() -> None:
+    """Give freed memory back to the system at the end of a task: workers stay alive beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library than glibc
+        pass
+
+
 class WordHashes(dict):
     """64-bit hashes of words, of which a worker keeps ``most`` in memory."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:

@@ -35,7 +35,7 @@ PARTS = 16
 #: Signatures that one block of a comparison holds, about, and rows of it that are compared at once.
 BLOCK_SIGNATURES, AT_ONCE = 5000, 64
 #: Word hashes kept in a worker's memory.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 _U = np.uint64
 _MULTIPLY = np.random.default_rng(20240607).integers(1, 1 << 63, MINIMA, dtype=np.uint64) * _U(2) + _U(1)
@@ -48,16 +48,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-_words = common.WordHashes(CACHE_WORDS)
-
-
-def shingles(body: bytes, k: int) -> np.ndarray:
+def shingles(body: bytes, k: int, cache: common.WordHashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles of k words (fewer words: the whole sequence as one)."""
     words = body.lower().split()  # bytes: only A-Z are lower-cased, only ASCII white space splits
     n = len(words)
     if not n:
         return np.empty(0, dtype=np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=n)
+    h = np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=n)
     size = min(k, n)
     out = np.full(n - size + 1, size, dtype=np.uint64)
     for j in range(size):
@@ -108,10 +105,12 @@ def signatures(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text_c
     """doc_id, n (size of the set), key (128-bit digest of the set), sig and bands; without words, n is 0 and the rest null."""
 
     def make():
+        cache = common.WordHashes(CACHE_WORDS)
+
         def run(ids, bodies):
             out = []
             for i, body in zip(ids, bodies, strict=True):
-                s = shingles(body, k)
+                s = shingles(body, k, cache)
                 if not len(s):
                     out.append((i, 0, None, None, None))
                     continue
@@ -137,12 +136,13 @@ def compare(units: DataFrame, k: int, link: tuple[int, int]) -> DataFrame:
     need, of = link
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sets = {}
+        sets, cache = {}, common.WordHashes(CACHE_WORDS)
         for node, key, body in zip(rows["node"], rows["key"], rows["body"], strict=True):
             if node not in sets:
-                s = shingles(body, k)
+                s = shingles(body, k, cache)
                 if fingerprint(s) == key:  # an id that repeats with another text has another set
                     sets[node] = s
+        del cache
         comp = dict(zip(rows["node"], rows["comp"], strict=True))
         xs = [n for n in dict.fromkeys(rows.loc[rows["is_x"], "node"]) if n in sets]
         ys = [n for n in dict.fromkeys(rows.loc[~rows["is_x"], "node"]) if n in sets]
@@ -163,6 +163,9 @@ def compare(units: DataFrame, k: int, link: tuple[int, int]) -> DataFrame:
                 both = np.bincount(owner[at], minlength=len(xs))
                 for i in np.flatnonzero((of * both >= need * (sizes + len(s) - both)) & (x_comp != comp[y]) & (x_id != y)):
                     out.append((y, xs[i]))
+            del hashes, owner
+        del sets
+        common.tidy()
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     return units.groupBy("h", "xb", "yc").applyInPandas(run, "u long, v long")

@@ -22,7 +22,7 @@ from .token_counts import cut
 #: What an unknown character scores below the worst piece, as the public library has it.
 UNKNOWN_PENALTY = 10.0
 #: Units kept in a worker's memory, and characters of one numpy block.
-CACHE_UNITS, BLOCK_CHARS = 700_000, 60_000
+CACHE_UNITS, BLOCK_CHARS = 400_000, 60_000
 #: Bytes of text whose units are looked up at once.
 SLICE_BYTES = 4_000_000
 

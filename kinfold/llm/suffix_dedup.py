@@ -343,6 +343,8 @@ def _ship(n_anchor: int):
             ranges = bucket.ranges()
             if len(ranges[0]):
                 out.append((n_anchor + int(key[0]), _pack(b"", *ranges)))
+            del bucket
+            common.tidy()
         return pd.DataFrame(out, columns=["key", "blob"])
 
     return run
@@ -472,6 +474,8 @@ def _meet(n_anchor: int, n_doc: int):
         head, text = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
         del parts
         got = covered(head, text)
+        del head, text
+        common.tidy()
         return pd.DataFrame([(k, _pack(b"", *c)) for k, c in _deal(_bucket(got[0], got[1], n_doc), *got)], columns=["key", "blob"])
 
     return run

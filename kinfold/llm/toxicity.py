@@ -288,6 +288,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         keys = ["", *pos.keys(), *(k for k in neg if k not in pos)]
         table = pa.table({"f": pa.array(keys, pa.string()), "p": pa.array([n[1], *(pos[k] for k in keys[1:])], pa.int64()), "q": pa.array([n[0], *(neg[k] for k in keys[1:])], pa.int64())})
         yield from table.to_batches(max_chunksize=50_000)
+        del pos, neg, keys, table
+        common.tidy()
 
     counts = sample.mapInArrow(count, "f string, p long, q long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     folder = common.shared_dir(docs.sparkSession)
@@ -449,6 +451,7 @@ def reject(docs: DataFrame, model: Model, columns=("doc_id", "text", "lang", "so
         for b in batches:
             keep = [t is None or sum(x * y for x, y in zip(w, reader.features(t), strict=True)) < 0 for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
+        common.tidy()
 
     df = docs.select(*columns)
     return df.mapInArrow(run, df.schema)
