@@ -36,16 +36,35 @@ def score(model, pairs: DataFrame, features: Sequence[str], name: str = "prob")
     return out.withColumn(name, vector_to_array("probability")[1]).drop("x", "rawPrediction", "probability", "prediction")
 
 
-def out_of_fold(pairs: DataFrame, features: Sequence[str], k: int = 3, **settings) -> DataFrame:
-    """Every pair scored by a model that saw no pair of its entity: folds by the entity's bucket."""
+def out_of_fold(pairs: DataFrame, features: Sequence[str], k: int = 3, early_stop: bool = False, models: list | None = None, **settings) -> DataFrame:
+    """Every pair scored by a model that saw no pair of its entity: folds by the entity's bucket.
+
+    ``early_stop`` keeps a tenth of the training entities aside, on which rounds must gain; ``models`` takes the
+    fitted models, for ``feature_gains``. The pairs are read k times over: pass a written table.
+    """
     folds = pairs.withColumn("fold", portable_bucket(F.col("s1_id"), k))
-    parts = [score(train_gbt(folds.where(F.col("fold") != i), features, **settings), folds.where(F.col("fold") == i), features) for i in range(k)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    if early_stop:
+        folds = folds.withColumn("__aside", portable_bucket(F.concat(F.col("s1_id").cast("string"), F.lit("aside")), 10) == 0)
+        settings["valid_col"] = "__aside"
+    out = None
+    for i in range(k):
+        model = train_gbt(folds.where(F.col("fold") != i), features, **settings)
+        part = score(model, folds.where(F.col("fold") == i), features).drop("__aside")
+        out = part if out is None else out.unionByName(part)
+        if models is not None:
+            models.append(model)
     return out
 
 
+def feature_gains(models: Sequence, features: Sequence[str], most: int | None = None) -> list[tuple[str, float]]:
+    """Mean importance of each feature over the models, the largest first."""
+    total = dict.fromkeys(features, 0.0)
+    for m in models:
+        for f, g in zip(features, m.stages[-1].featureImportances.toArray(), strict=True):
+            total[f] += float(g) / len(models)
+    return sorted(total.items(), key=lambda x: (-x[1], x[0]))[:most]
+
+
 def logit(c):
     p = F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6))
     return F.ln(p / (1 - p))

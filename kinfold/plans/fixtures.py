@@ -6,22 +6,49 @@ Records come from ``documents`` (name and address from words of the text), score
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold import storage
 from kinfold.functions import text
+from kinfold.operators import blocking as B
 from kinfold.operators import decode as D
+from kinfold.operators import evaluate as E
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_FOLDERS: dict[str, str] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A table that several queries start from, written once in an application by the first that needs it.
+
+    Without this each use of a derived table (and a plan uses keys or candidates many times) would read and
+    normalise all texts anew.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = storage.shared_dir(spark)
+    path = f"{_FOLDERS[app]}/{hashlib.md5(sf_dir.encode()).hexdigest()[:12]}/{name}"
+    if not storage.exists(spark, f"{path}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 LETTERS = "a-zäöüßéèêàçùâîôûñáíóú0-9"
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """entity_id, src, country, business_name, business_address, truth."""
+    return kept(spark, sf_dir, "records", lambda: _records(spark, sf_dir))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), f"[^{LETTERS}]+", " ")).alias("c"))
     docs = docs.withColumn("w", F.split("c", " "))
     src = F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"))
@@ -47,11 +74,23 @@ records as (
 
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The normalised table of the records by the full normaliser."""
-    return text.normalize_records(records(spark, sf_dir))
+    return kept(spark, sf_dir, "normalized", lambda: text.normalize_records(records(spark, sf_dir)))
+
+
+def plain_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, sf_dir, "plain_keys", lambda: B.build_keys(plain(spark, sf_dir)))
+
+
+def plain_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, sf_dir, "plain_candidates", lambda: B.build_candidates(plain_keys(spark, sf_dir)))
 
 
 def plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A normalised table by rules that SQL can repeat: words as they are, sound and skeleton keys by regular expressions."""
+    return kept(spark, sf_dir, "plain", lambda: _plain(spark, sf_dir))
+
+
+def _plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = records(spark, sf_dir)
     concat = F.replace(F.col("business_name"), F.lit(" "), F.lit(""))
     house = F.split("business_address", " ")
@@ -95,6 +134,10 @@ TRUTH_SQL = "truth as (select a.entity_id as s1_id, b.entity_id as cand_id from
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """s1_id, cand_id, prob, label, source, keys: one row a pair."""
+    return kept(spark, sf_dir, "scored", lambda: _scored(spark, sf_dir))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
     return rows.groupBy(F.col("l_orderkey").alias("s1_id"), F.col("l_partkey").alias("cand_id")).agg(
         F.max(F.round(F.col("l_quantity").cast("double") / 51.0, 6)).alias("prob"),
@@ -104,6 +147,11 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scored_with_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored candidates of a blocking that misses every tenth pair, true ones among them."""
+    return scored(spark, sf_dir).where((F.col("s1_id") * 7 + F.col("cand_id")) % 10 != 0)
+
+
 SCORED_SQL = """
 c as (
   select l_orderkey as s1_id, l_partkey as cand_id, max(round(l_quantity::double / 51.0, 6)) as prob, bool_or(l_returnflag = 'R') as label,
@@ -117,11 +165,14 @@ c as (
 )"""
 
 
+#: The same with candidates that miss every tenth pair; the truth is that of all pairs.
+MISSES_SQL = SCORED_SQL.replace("\nc as (", "\nc0 as (", 1).replace("), e as (", "), c as (select * from c0 where (s1_id * 7 + cand_id) % 10 <> 0\n), e as (", 1).replace("filter (where label) as n_true from c group", "filter (where label) as n_true from c0 group", 1)
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """s1_id, grp, n_true of every entity."""
-    true = scored(spark, sf_dir).where("label").groupBy("s1_id").agg(F.count("*").alias("n_true"))
+    """s1_id, grp, n_true of every entity, by the truth."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("s1_id"), F.col("o_orderpriority").alias("grp"))
-    return orders.join(true, "s1_id", "left").na.fill(0, ["n_true"])
+    return E.with_n_true(orders, scored(spark, sf_dir).where("label"))
 
 
 def owned(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold import storage
 from kinfold.functions import similarity as S
 from kinfold.functions import tables as T
 from kinfold.operators import blocking as B
@@ -17,6 +18,7 @@ from kinfold.operators import validate as V
 from kinfold.session import ship
 
 from . import fixtures as X0
+from . import runs as R
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -52,22 +54,26 @@ def joined(df: DataFrame, *columns: str) -> DataFrame:
 # --- scored candidates: decoding and evaluation ---------------------------------------------
 
 F05 = "case when t = 0 then (case when k = 0 then 1.0 else 0.0 end) when k = 0 or h = 0 then 0.0 else 1.25 * h / (k + 0.25 * t) end"
-KEPT = f"""{X0.SCORED_SQL},
+_KEPT = """
 m as (select *, max(prob) over (partition by s1_id) >= 0.3 and prob >= 0.7 as kept, row_number() over (partition by s1_id order by prob desc, cand_id) - 1 as rank from a),
 n as (select s1_id, count(*) filter (where kept and label) as h, count(*) filter (where kept) as k from m group by 1),
 p as (
-  select s1_id, grp, h, k, t, ({F05.replace("1.0", "1.0::double").replace("0.0", "0.0::double")})::double as score,
+  select s1_id, grp, h, k, t, (@F05)::double as score,
     case when t = 0 and k = 0 then 'singleton_ok' when t = 0 then 'singleton_false_merge' when k = 0 then 'gated_shut' when h = t and k = h then 'exact' else 'partial' end as outcome
   from (select e.s1_id, grp, coalesce(h, 0) as h, coalesce(k, 0) as k, n_true as t from e left join n on n.s1_id = e.s1_id)
 )"""
 
 
-def _marked(spark, sf_dir, cfg=GOLDEN) -> DataFrame:
-    return D.marked(X0.owned(spark, sf_dir), cfg)
+_KEPT = _KEPT.replace("@F05", F05.replace("1.0", "1.0::double").replace("0.0", "0.0::double"))
+KEPT, KEPT_MISSES = f"{X0.SCORED_SQL},{_KEPT}", f"{X0.MISSES_SQL},{_KEPT}"
 
 
-def _table(spark, sf_dir) -> DataFrame:
-    return E.entity_counts(_marked(spark, sf_dir), X0.entities(spark, sf_dir).select("s1_id", "grp"))
+def _marked(spark, sf_dir, cfg=GOLDEN, misses=False) -> DataFrame:
+    return D.marked(D.assign_owner(X0.scored_with_misses(spark, sf_dir)) if misses else X0.owned(spark, sf_dir), cfg)
+
+
+def _table(spark, sf_dir, misses=False) -> DataFrame:
+    return E.entity_counts(_marked(spark, sf_dir, misses=misses), X0.entities(spark, sf_dir))
 
 
 @query("scored_candidates", f"with {X0.SCORED_SQL} select s1_id, cand_id, prob, label, source, array_to_string(keys, '|') as keys from c")
@@ -103,7 +109,17 @@ def decode_caps(spark, sf_dir):
     return _marked(spark, sf_dir, D.DecodeConfig(gate=0.3, pair=0.4, max_k=2, max_per_source=1)).where("kept").select("s1_id", "cand_id")
 
 
-@query("expected_f_decode")
+_EXPECTED = f"""with {X0.SCORED_SQL},
+l as (select s1_id, list(prob order by prob desc, cand_id) as ps, list(cand_id order by prob desc, cand_id) as cs from a group by 1),
+w as (select s1_id, ps, unnest(range(0, (1 << len(ps))::bigint)) as world from l),
+v as (select s1_id, len(ps) as n, list_product([case when (world >> (i - 1)) & 1 = 1 then ps[i] else 1 - ps[i] end for i in range(1, len(ps) + 1)]) as weight, world, bit_count(world) as t from w),
+k as (select s1_id, k, sum(weight * case when t = 0 then 0.0 else 1.25 * bit_count(world & ((1::bigint << k) - 1)) / (k + 0.25 * t) end) as value from (select *, unnest(range(1, n + 1)) as k from v where weight > 0) group by 1, 2
+  union all select s1_id, 0, coalesce(sum(weight) filter (where t = 0), 0) from v group by 1),
+best as (select s1_id, min(k) as k from (select *, max(value) over (partition by s1_id) as top from k) where value >= top - 1e-10 group by 1)
+select s1_id, unnest(cs[1:k]) as cand_id, unnest(ps[1:k]) as prob from l join best using (s1_id) where k > 0"""
+
+
+@query("expected_f_decode", _EXPECTED)
 def expected_f_decode(spark, sf_dir):
     """Sets of the largest expected F0.5 (exact, by dynamic programming)."""
     return _marked(spark, sf_dir, D.DecodeConfig(mode="expected_f")).where("kept").select("s1_id", "cand_id", "prob")
@@ -129,6 +145,12 @@ def report(spark, sf_dir):
     return rounded(E.report(_table(spark, sf_dir)))
 
 
+@query("report_with_misses", f"with {KEPT_MISSES} select n, {_ROUND}, {', '.join(E.OUTCOMES)} from (select {REPORT_SQL}, {_OUTCOMES} from p)")
+def report_with_misses(spark, sf_dir):
+    """The same where blocking misses true pairs: they count against the score."""
+    return rounded(E.report(_table(spark, sf_dir, misses=True)))
+
+
 @query("report_by_group", f"with {KEPT} select grp, count(*) as n, round(avg(score), 6) as score, round(sum(1 - score) / (select sum(1 - score) from p), 6) as loss_share from p group by grp")
 def report_by_group(spark, sf_dir):
     return rounded(E.by_group(_table(spark, sf_dir)))
@@ -145,37 +167,86 @@ def projection(spark, sf_dir):
 
 
 _VALUES = lambda name, xs: f"(select * from (values {', '.join(f'({i}, {x}::double)' for i, x in enumerate(xs))}) v({name}_i, {name}))"
-GRID_SQL = f"""with {X0.SCORED_SQL},
+_GRID = f"""
 b as (select *, max(prob) over (partition by s1_id) as best from a),
 cfg as (select * from {_VALUES("gate", GATES)}, {_VALUES("pair", PAIRS)}, {_VALUES("rel", RELS)}),
 k as (select gate_i, pair_i, rel_i, s1_id, count(*) as k, count(*) filter (where label) as h from b, cfg where best >= gate and prob >= pair and (rel <= 0 or prob >= rel * best) group by all),
-s as (
-  select gate_i, pair_i, rel_i, gate, pair, rel, avg({F05}) as score
-  from (select cfg.*, e.s1_id, n_true as t, coalesce(k, 0) as k, coalesce(h, 0) as h from cfg cross join e left join k using (gate_i, pair_i, rel_i, s1_id)) group by all
+x as (
+  select gate_i, pair_i, rel_i, gate, pair, rel, t, k, {F05} as f
+  from (select cfg.*, e.s1_id, n_true as t, coalesce(k, 0) as k, coalesce(h, 0) as h from cfg cross join e left join k using (gate_i, pair_i, rel_i, s1_id))
+), s as (
+  select gate_i, pair_i, rel_i, gate, pair, rel, avg(f) as score, avg((k = 0)::int) filter (where t = 0) as spec, avg((k > 0)::int) filter (where t > 0) as open_rate,
+    coalesce(avg(f) filter (where t > 0 and k > 0), 0) as f_open, coalesce(avg(k) filter (where k > 0), 0) as avg_set_size from x group by all
 )
-select x.gate, x.pair, x.rel, round(x.score, 6) as score, round(avg(y.score), 6) as score_smooth
+select x.gate, x.pair, x.rel, round(x.score, 6) as score, round(x.spec, 6) as spec, round(x.open_rate, 6) as open_rate, round(x.f_open, 6) as f_open, round(x.avg_set_size, 6) as avg_set_size, round(avg(y.score), 6) as score_smooth
 from s x join s y on abs(x.gate_i - y.gate_i) + abs(x.pair_i - y.pair_i) + abs(x.rel_i - y.rel_i) <= 1 group by all"""
+GRID = {"gate": GATES, "pair": PAIRS, "rel": RELS}
 
 
-@query("grid_search", GRID_SQL)
+@query("grid_search", f"with {X0.SCORED_SQL},{_GRID}")
 def grid_search(spark, sf_dir):
-    return rounded(E.grid_search(X0.owned(spark, sf_dir), X0.entities(spark, sf_dir), GATES, PAIRS, RELS))
+    return rounded(E.grid_search(X0.owned(spark, sf_dir), X0.entities(spark, sf_dir), GRID))
+
+
+@query("grid_search_with_misses", f"with {X0.MISSES_SQL},{_GRID}")
+def grid_search_with_misses(spark, sf_dir):
+    """The grid where blocking misses true pairs."""
+    return rounded(E.grid_search(D.assign_owner(X0.scored_with_misses(spark, sf_dir)), X0.entities(spark, sf_dir), GRID))
+
 
+_CAPS_GRID = f"""
+r as (select *, row_number() over (partition by s1_id order by prob desc, cand_id::varchar) as r, row_number() over (partition by s1_id, source order by prob desc, cand_id::varchar) as q,
+  1 - exp(sum(ln(1 - least(greatest(prob, 0.0), 1 - 1e-12))) over (partition by s1_id)) as gate from a),
+cfg as (select * from (values (0, 1), (1, 2)) v(i, max_k), (values (0, 1), (1, 3)) w(j, max_per_source)),
+k as (select i, j, s1_id, count(*) as k, count(*) filter (where label) as h from r, cfg where gate >= 0.95 and prob >= 0.4 and r <= max_k and q <= max_per_source group by all),
+s as (select i, j, max_k, max_per_source, avg({F05}) as score from (select cfg.*, n_true as t, coalesce(k, 0) as k, coalesce(h, 0) as h from cfg cross join e left join k using (i, j, s1_id)) group by all)
+select x.max_k, x.max_per_source, round(x.score, 6) as score, round(avg(y.score), 6) as score_smooth from s x join s y on abs(x.i - y.i) + abs(x.j - y.j) <= 1 group by all"""
 
-ORACLES_SQL = f"""with {KEPT},
-o as (select s1_id, count(*) filter (where prob >= 0.7) as ko, count(*) filter (where prob >= 0.7 and label) as ho, count(*) filter (where label) as hb, count(*) filter (where rank = 0 and label) as h1, 1 as k1 from m group by 1),
-q as (select p.*, coalesce(ko, 0) as ko, coalesce(ho, 0) as ho, coalesce(hb, 0) as hb, coalesce(h1, 0) as h1, coalesce(k1, 0) as k1 from p left join o using (s1_id)),
-f as (select 'perfect gate' as scenario, t, case when t = 0 then 0 when ko = 0 then h1 else ho end as h, case when t = 0 then 0 when ko = 0 then k1 else ko end as k from q
-  union all select 'perfect sets', t, case when k > 0 then hb else 0 end, case when k > 0 and t > 0 then hb else k end from q
-  union all select 'blocking ceiling', t, hb, hb from q union all select 'current', t, h, k from q),
-r as (select scenario, avg({F05}) as macro_f05 from f group by 1 union all select 'perfect blocking', 1.0)
-select scenario, round(macro_f05, 6) as macro_f05, round(macro_f05 - (select macro_f05 from r where scenario = 'current'), 6) as gain_vs_current from r"""
 
+@query("grid_search_caps", f"with {X0.MISSES_SQL},{_CAPS_GRID}")
+def grid_search_caps(spark, sf_dir):
+    """Any field of the configuration can be an axis: here the caps, behind a noisy-or gate."""
+    base = D.DecodeConfig(gate=0.95, gate_source="any", pair=0.4)
+    grid = E.grid_search(D.assign_owner(X0.scored_with_misses(spark, sf_dir)), X0.entities(spark, sf_dir), {"max_k": (1, 2), "max_per_source": (1, 3)}, base)
+    return rounded(grid.select("max_k", "max_per_source", "score", "score_smooth"))
 
-@query("oracles", ORACLES_SQL)
+
+_ORACLES = f"""
+reach as (select s1_id, count(*) filter (where prob >= 0.7) as open_size, count(*) filter (where prob >= 0.7 and label) as open_hits, count(*) filter (where label) as true_ones, bool_or(rank = 0 and label)::int as first_hit from m group by 1),
+q as (select t, h, k, coalesce(open_size, 0) as open_size, coalesce(open_hits, 0) as open_hits, coalesce(true_ones, 0) as true_ones, coalesce(first_hit, 0) as first_hit, (reach.s1_id is not null)::int as first_size from p left join reach using (s1_id)),
+got as (
+  select 'current' as scenario, t, h, k from q
+  union all select 'perfect gate', t, case when t > 0 then case when open_size > 0 then open_hits else first_hit end else 0 end, case when t > 0 then case when open_size > 0 then open_size else first_size end else 0 end from q
+  union all select 'perfect sets', t, case when k > 0 and t > 0 then true_ones else h end, case when k > 0 and t > 0 then true_ones else k end from q
+  union all select 'blocking ceiling', t, true_ones, true_ones from q),
+means as (select scenario, avg({F05}) as macro_f05 from got group by 1 union all select 'perfect blocking', 1.0)
+select scenario, round(macro_f05, 6) as macro_f05, round(macro_f05 - (select macro_f05 from means where scenario = 'current'), 6) as gain_vs_current from means"""
+
+
+def _oracles(spark, sf_dir, misses=False):
+    opened = _marked(spark, sf_dir, D.DecodeConfig(gate=float("-inf"), pair=0.7), misses)
+    return rounded(E.oracles(_marked(spark, sf_dir, misses=misses), opened, X0.entities(spark, sf_dir)))
+
+
+@query("oracles", f"with {KEPT},{_ORACLES}")
 def oracles(spark, sf_dir):
-    opened = _marked(spark, sf_dir, D.DecodeConfig(gate=float("-inf"), pair=0.7))
-    return rounded(E.oracles(_marked(spark, sf_dir), opened, X0.entities(spark, sf_dir)))
+    return _oracles(spark, sf_dir)
+
+
+@query("oracles_with_misses", f"with {KEPT_MISSES},{_ORACLES}")
+def oracles_with_misses(spark, sf_dir):
+    return _oracles(spark, sf_dir, misses=True)
+
+
+@query(
+    "error_pairs_with_misses",
+    f"""with {KEPT_MISSES} select case when label and not kept then 'model_miss' when n_true = 0 then 'false_merge_singleton' else 'false_merge_matched' end as kind, s1_id, cand_id, prob
+from m join e using (s1_id) where label <> kept union all select 'blocking_miss', s1_id, cand_id, null from (select * from c0 where label) anti join c using (s1_id, cand_id)""",
+)
+def error_pairs_with_misses(spark, sf_dir):
+    """Wrong pairs by cause, those that blocking missed among them."""
+    truth = X0.scored(spark, sf_dir).where("label").select("s1_id", "cand_id")
+    return E.error_pairs(_marked(spark, sf_dir, misses=True), truth, X0.entities(spark, sf_dir))
 
 
 @query(
@@ -297,20 +368,41 @@ def score_context(spark, sf_dir):
     return rounded(df.select("s1_id", "cand_id", *_CTX_COLUMNS))
 
 
+def _two_tables(spark, sf_dir):
+    """Golden thresholds, and a stricter pair threshold."""
+    ents = X0.entities(spark, sf_dir)
+    return (E.entity_counts(_marked(spark, sf_dir, D.DecodeConfig(gate=0.3, pair=p)), ents) for p in (0.7, 0.8))
+
+
+@query("paired_differences", f"""with {KEPT}, m2 as (select s1_id, count(*) filter (where keep and label) as h2, count(*) filter (where keep) as k2 from (select *, max(prob) over (partition by s1_id) >= 0.3 and prob >= 0.8 as keep from a) group by 1),
+q as (select score, t, coalesce(h2, 0) as h, coalesce(k2, 0) as k from p left join m2 using (s1_id)) select round({F05} - score, 6) as d, count(*) as n from q group by 1""")
+def paired_differences(spark, sf_dir):
+    """What the paired bootstrap draws from."""
+    return rounded(E.differences(*_two_tables(spark, sf_dir))).groupBy("d").agg(F.sum("n").alias("n"))
+
+
 @query("bootstrap_compare")
 def bootstrap_compare(spark, sf_dir):
     """Golden thresholds against a stricter pair threshold, by paired bootstrap."""
-    ents = X0.entities(spark, sf_dir).select("s1_id")
-    one = E.entity_counts(_marked(spark, sf_dir), ents)
-    two = E.entity_counts(_marked(spark, sf_dir, D.DecodeConfig(gate=0.3, pair=0.8)), ents)
+    one, two = _two_tables(spark, sf_dir)
     r = E.paired_bootstrap(one, two)
     return spark.createDataFrame([tuple(r.values())], "delta double, lo double, hi double, win_rate double, verdict string")
 
 
-@query("isotonic_calibration")
+_ISOTONIC = f"""with {X0.SCORED_SQL}, f as (select s1_id, cand_id, prob, label, ('0x' || substr(md5(s1_id::varchar), 1, 8))::bigint % 3 as fold from c),
+x as (select k.fold, f.prob, sum(label::int) as y, count(*) as n from f, (select unnest([0, 1, 2]) as fold) k where f.fold <> k.fold group by all),
+s as (select *, sum(y) over w as sy, sum(n) over w as sn from x window w as (partition by fold order by prob)),
+r as (select a.fold, a.prob as lo, b.prob as hi, (b.sy - a.sy + a.y) / (b.sn - a.sn + a.n) as mean from s a join s b on a.fold = b.fold and a.prob <= b.prob),
+i as (select x.fold, x.prob, lo, min(mean) as low from x join r on r.fold = x.fold and lo <= x.prob and hi >= x.prob group by all),
+z as (select fold, prob, least(greatest(max(low), 1e-4), 1 - 1e-4) as p from i group by all)
+select s1_id, cand_id, round(z.p, 6) as prob, label from f join z using (fold, prob)"""
+
+
+@query("isotonic_calibration", _ISOTONIC)
 def isotonic_calibration(spark, sf_dir):
+    """Isotonic regression as max over lows of min over highs of the means between; the SQL twin is that formula."""
     out = L.calibrate_out_of_fold(X0.scored(spark, sf_dir).select("s1_id", "cand_id", "prob", "label"))
-    return out.select("s1_id", "cand_id", "prob", "label")
+    return rounded(out.select("s1_id", "cand_id", "prob", "label"))
 
 
 @query("gbt_scores")
@@ -387,11 +479,11 @@ LABELED_SQL = f"{CANDS_SQL}, {X0.TRUTH_SQL}, lab as (select cands.*, truth.s1_id
 
 
 def _keys(spark, sf_dir):
-    return B.build_keys(X0.plain(spark, sf_dir))
+    return X0.plain_keys(spark, sf_dir)
 
 
 def _cands(spark, sf_dir):
-    return B.build_candidates(_keys(spark, sf_dir))
+    return X0.plain_candidates(spark, sf_dir)
 
 
 @query("token_frequency", f"with {KEYS_SQL} select country, tok, df from df")
@@ -411,7 +503,7 @@ def rare_address_words(spark, sf_dir):
 
 @query("blocking_keys", f"with {KEYS_SQL} select entity_id, src, kind, key from keys")
 def blocking_keys(spark, sf_dir):
-    return _keys(spark, sf_dir)
+    return B.build_keys(X0.plain(spark, sf_dir))
 
 
 @query("block_sizes", f"with {SIZES_SQL} select kind, key, n_t, n_s from sizes")
@@ -431,7 +523,7 @@ def block_statistics(spark, sf_dir):
 
 @query("candidates", f"with {CANDS_SQL} select s1_id, cand_id, array_to_string(keys, '|') as keys from cands")
 def candidates(spark, sf_dir):
-    return joined(_cands(spark, sf_dir), "keys")
+    return joined(B.build_candidates(_keys(spark, sf_dir)), "keys")
 
 
 LINKS_SQL = f"""lk as (select * from (select *, count(*) over (partition by k, kk) as n from (
@@ -464,11 +556,26 @@ def missed_pairs(spark, sf_dir):
     return B.missed_pairs(_cands(spark, sf_dir).where(F.array_contains("keys", "addr")), X0.truth_pairs(spark, sf_dir))
 
 
-@query("greedy_key_order")
+def _greedy_sql() -> str:
+    """The search, step by step: each step is a query over what the steps before have left."""
+    kinds = len(T.CAP_TARGETS)
+    steps = ["kinds as (select distinct unnest(keys) as kind from lab)", "g0 as (select keys, label from lab)"]
+    for i in range(1, kinds + 1):
+        taken = " union all ".join(f"select add_key from p{j}" for j in range(1, i)) or "select '' as add_key"
+        steps.append(f"""p{i} as (
+  select {i} as i, kind as add_key, count(*) filter (where label) as h, count(label) as n from kinds left join (select unnest(keys) as key, label from g{i - 1}) on key = kind
+  where kind not in ({taken}) group by kind order by h desc, n, add_key limit 1)""")
+        steps.append(f"g{i} as (select * from g{i - 1} where not list_contains(keys, coalesce((select add_key from p{i}), '')))")
+    every = " union all ".join(f"select * from p{i}" for i in range(1, kinds + 1))
+    return f"""with {LABELED_SQL}, {", ".join(steps)}
+select add_key, round(sum(h) over (order by i) / (select count(*) from truth), 6) as cum_pair_recall, (sum(n) over (order by i))::bigint as cum_pairs from ({every})"""
+
+
+@query("greedy_key_order", _greedy_sql())
 def greedy_key_order(spark, sf_dir):
     truth = X0.truth_pairs(spark, sf_dir)
     rows = E.greedy_keys(B.label(_cands(spark, sf_dir), truth), truth.count())
-    return spark.createDataFrame([tuple(r.values()) for r in rows], "add_key string, cum_pair_recall double, cum_pairs long")
+    return rounded(spark.createDataFrame([tuple(r.values()) for r in rows], "add_key string, cum_pair_recall double, cum_pairs long"))
 
 
 IDF_SQL = f"{X0.PLAIN_SQL}, idf as (select country, tok, ln((select count(*) from plain) / count(*)) as idf from (select country, unnest(string_split(name_core, ' ')) as tok from plain) where tok <> '' group by 1, 2)"
@@ -531,8 +638,9 @@ def pair_similarities(spark, sf_dir):
 @query("pair_features")
 def pair_features(spark, sf_dir):
     """All features of all candidates of the fully normalised records."""
-    norm = X0.normalized(spark, sf_dir)
-    return rounded(X.pair_features(B.build_candidates(B.build_keys(norm)), norm))
+    norm, folder = X0.normalized(spark, sf_dir), storage.shared_dir(spark)
+    keys = storage.written(B.build_keys(norm), folder, "keys")
+    return rounded(X.pair_features(storage.written(B.build_candidates(keys), folder, "candidates"), norm))
 
 
 @query("sibling_features")
@@ -546,11 +654,13 @@ def sibling_features(spark, sf_dir):
 @query("rerank_blend")
 def rerank_blend(spark, sf_dir):
     """A stand-in re-ranker on the uncertain pairs, blended with the first score."""
-    truth = X0.truth_pairs(spark, sf_dir)
+    truth, folder = X0.truth_pairs(spark, sf_dir), storage.shared_dir(spark)
     pairs = B.label(_cands(spark, sf_dir), truth).select("s1_id", "cand_id", "label", F.least(F.lit(0.98), F.size("keys") / 12.0).alias("p1"))
+    pairs = storage.written(L.band(pairs), folder, "band")
     t = L.texts(X0.records(spark, sf_dir), pairs.select(F.col("s1_id").alias("entity_id")).union(pairs.select("cand_id")).distinct())
-    df = L.band(pairs).join(t.toDF("s1_id", "text_a"), "s1_id").join(t.toDF("cand_id", "text_b"), "cand_id")
-    df = L.rerank(df, L.overlap_scorer).drop("text_a", "text_b")
+    t = storage.written(t, folder, "texts")
+    df = pairs.join(t.toDF("s1_id", "text_a"), "s1_id").join(t.toDF("cand_id", "text_b"), "cand_id")
+    df = storage.written(L.rerank(df, L.overlap_scorer).drop("text_a", "text_b"), folder, "reranked")  # read by the fit and by what it is applied to
     return rounded(L.apply_blend(L.fit_blend(df), df))
 
 
@@ -560,15 +670,16 @@ def random_sample(spark, sf_dir):
     return X0.records(spark, sf_dir).where(E.portable_bucket(F.col("entity_id"), 100) < 20).select("entity_id")
 
 
-@query("leaderboard_alignment", f"with {KEPT}, g as (select grp, avg(score) as local, avg((t > 0 and k > 0)::int) as board from p group by 1) select count(*) as runs, round(avg(board - local), 6) as gap_mean, round(stddev_samp(board - local), 6) as gap_std from g")
-def leaderboard_alignment(spark, sf_dir):
-    """Mean and spread of the gap between two scores of each run (here: of each group)."""
-    table = _table(spark, sf_dir)
-    runs = table.groupBy("grp").agg(F.avg("score").alias("local"), F.avg(((F.col("n_true") > 0) & (F.col("n_pred") > 0)).cast("double")).alias("board"))
-    return rounded(runs.agg(F.count("*").alias("runs"), F.avg(F.col("board") - F.col("local")).alias("gap_mean"), F.stddev_samp(F.col("board") - F.col("local")).alias("gap_std")))
+_ALIGN = f"""with {KEPT}, g as (select grp as run, avg(score) as local, avg(h) as board from p group by 1), d as (select *, board - local as gap from g),
+r as (select *, rank() over (order by local) + (count(*) over (partition by local) - 1) / 2.0 as rl, rank() over (order by board) + (count(*) over (partition by board) - 1) / 2.0 as rb from d)
+select count(*) as n, round(avg(gap), 6) as gap_mean, round(stddev_samp(gap), 6) as gap_std, coalesce(string_agg(run, '|' order by run) filter (where abs(gap - (select avg(gap) from d)) > {R.DRIFT}), '') as drifters, round(corr(rl, rb), 6) as spearman from r"""
 
 
-def spearman(df: DataFrame, a: str, b: str) -> float | None:
-    """Rank correlation with average ranks; for tables of runs, which are small."""
-    ranks = {c: (F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2).alias(f"r_{c}") for c in (a, b)}
-    return df.select(*ranks.values()).agg(F.corr(f"r_{a}", f"r_{b}")).first()[0]
+@query("leaderboard_alignment", _ALIGN)
+def leaderboard_alignment(spark, sf_dir):
+    """How two scores of each run agree; the runs here are the five groups, with their mean hits as the second score, and one all-empty probe, which stays out."""
+    means = _table(spark, sf_dir).groupBy("grp").agg(F.avg("score").alias("local"), F.avg("hits").alias("board")).collect()
+    logged = [{"run": r.grp, "config": {}, "report": {"score": r.local}, "leaderboard": r.board} for r in means]
+    a = R.alignment([*logged, {"run": "probe", "config": {"kind": R.PROBE}, "report": {"score": 0.0}, "leaderboard": 0.25}])
+    row = (a["n"], a["gap_mean"], a["gap_std"], "|".join(sorted(a["drifters"])), a["spearman"])
+    return rounded(spark.createDataFrame([row], "n long, gap_mean double, gap_std double, drifters string, spearman double"))

@@ -8,21 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from kinfold import storage
 
-def read_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, quotes kept, short rows padded; empty fields are '' and never null."""
+
+def read_tsv(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
+    """All columns as text, quotes kept, short rows padded; empty fields are '' and never null.
+
+    ``ordered`` adds ``ord``, by which rows sort as they stand in their files: file, split, place in the split.
+    """
     header = spark.read.text(path).first()
     names = header.value.split("\t") if header else []
     schema = StructType([StructField(n, StringType()) for n in names])
     df = spark.read.csv(path, sep="\t", header=True, quote="", escape="", schema=schema, nullValue="\x01", enforceSchema=True)
-    return df.na.fill("")
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    return df.select(*[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names], *([place.alias("ord")] if ordered else []))
+
+
+def too_wide(spark: SparkSession, path: str) -> int:
+    """Rows with more fields than the header has, which ``read_tsv`` cuts."""
+    lines = spark.read.text(path)
+    names = (lines.first() or [""])[0].split("\t")
+    return lines.where(F.size(F.split("value", "\t")) > len(names)).count()
 
 
 def convert(spark: SparkSession, tsv: str, parquet: str, expected: int | None = None, force: bool = False) -> int:
     """TSV to zstd parquet; the rows must be the lines less the header, and ``expected`` if given. Skips what exists unless forced."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(parquet)
-    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    if not there or force:
+    if force or not storage.exists(spark, parquet):
         read_tsv(spark, tsv).write.mode("overwrite").option("compression", "zstd").parquet(parquet)
     rows, lines = spark.read.parquet(parquet).count(), spark.read.text(tsv).count() - 1
     if rows != lines or expected not in (None, rows):
@@ -46,7 +57,8 @@ def read_match_sets(spark: SparkSession, path: str, id_col: str | None = None, m
     df = read_tsv(spark, path)
     id_col = id_col or df.columns[0]
     cols = match_cols or [c for c in df.columns if c != id_col]
-    rows = df.select(F.trim(id_col).alias("s1_id"), F.array_distinct(F.flatten(F.array(*[ids_of(F.col(c)) for c in cols]))).alias("x"))
+    lists = F.flatten(F.array(*[ids_of(F.col(c)) for c in cols])) if cols else F.array().cast("array<string>")
+    rows = df.select(F.trim(id_col).alias("s1_id"), F.array_distinct(lists).alias("x"))
     return rows.groupBy("s1_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("x")))).alias("cand_ids"))
 
 
@@ -65,29 +77,47 @@ def read_groups(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.trim(df.columns[0]).alias("s1_id"), F.trim(df.columns[1]).alias("grp"))
 
 
-def with_order(df: DataFrame) -> DataFrame:
-    """Adds ``ord``, the place of each row as it was read."""
-    names = df.columns
-    return df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF([*names, "ord"])
-
-
 def write_lists(lists: DataFrame, path: str, order: DataFrame | None = None, header: tuple[str, str] = ("s1_id", "cand_ids")) -> None:
     """(s1_id, cand_ids array) as one TSV in the order of ``order`` (s1_id, ord), else by id; entities without a list get ''.
 
-    Rows are sorted in a distributed way; the one file that the format asks for is written by one task from sorted parts.
+    Rows are sorted in ranges, a part a task; the parts are then strung together to the one file that the format asks for.
     """
     text = lists.select("s1_id", F.array_join(F.array_sort("cand_ids"), ",").alias("ids"))
     if order is not None:
-        text = order.join(text, "s1_id", "left").select("s1_id", F.coalesce("ids", F.lit("")).alias("ids"), "ord").orderBy("ord").drop("ord")
+        text = order.join(text, "s1_id", "left").select("s1_id", F.coalesce("ids", F.lit("")).alias("ids"), "ord").orderBy("ord")
     else:
         text = text.orderBy("s1_id")
-    text.toDF(*header).coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True, quote="", emptyValue="", nullValue="")
+    spark = lists.sparkSession
+    text.select(F.concat_ws("\t", F.col("s1_id").cast("string"), "ids").alias("value")).write.mode("overwrite").text(f"{path}.parts")
+    storage.merged(spark, f"{path}.parts", path, "\t".join(header))
 
 
 def write_entity_scores(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").csv(path, sep="\t", header=True, compression="gzip")
 
 
+def read_entity_scores(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_entity_scores`` has written, with its types."""
+    counts = ", ".join(f"{c} long" for c in ("hits", "n_pred", "n_true"))
+    df = spark.read.csv(path, sep="\t", header=True)
+    known = {f.split()[0]: f.split()[1] for f in counts.split(", ")} | {"score": "double", "fp": "long", "fn": "long"}
+    return df.select(*[F.col(c).cast(known.get(c, "string")).alias(c) for c in df.columns])
+
+
+def parquet_to_tsv(spark: SparkSession, source: str, path: str) -> None:
+    """A table as one TSV, for tools that read nothing else; nulls become ''."""
+    df = spark.read.parquet(source)
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]
+    df.select(F.array_join(F.array(*cells), "\t").alias("value")).write.mode("overwrite").text(f"{path}.parts")
+    storage.merged(spark, f"{path}.parts", path, "\t".join(df.columns))
+
+
+def repeated_rows(spark: SparkSession, path: str) -> int:
+    """Ids of a match file that have several rows, whose lists are united."""
+    df = read_tsv(spark, path)
+    return df.groupBy(F.trim(df.columns[0])).count().where("count > 1").count()
+
+
 def register(df: DataFrame, name: str) -> None:
     df.createOrReplaceTempView(name)
 

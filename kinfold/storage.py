@@ -47,3 +47,33 @@ def removed(spark: SparkSession, path: str) -> None:
     """Delete a folder that nothing reads any more."""
     fs, p = path_of(spark, path)
     fs.delete(p, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = path_of(spark, path)
+    out = fs.create(p, True)
+    out.write(text.encode())
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, whole."""
+    return "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+
+
+def listed(spark: SparkSession, folder: str, suffix: str = "") -> list[str]:
+    fs, p = path_of(spark, folder)
+    return sorted(x.getPath().toString() for x in fs.listStatus(p) if x.getPath().getName().endswith(suffix)) if fs.exists(p) else []
+
+
+def merged(spark: SparkSession, folder: str, path: str, header: str) -> None:
+    """The text parts of a folder, in order, as one file behind a header line. Bytes run through the driver; nothing is held."""
+    fs, p = path_of(spark, path)
+    out = fs.create(p, True)
+    out.write(f"{header}\n".encode())
+    for part in listed(spark, folder):
+        if "/part-" in part:
+            source, q = path_of(spark, part)
+            spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source.open(q), out, 1 << 20, False)
+    out.close()
+    removed(spark, folder)
