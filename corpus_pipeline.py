@@ -48,7 +48,8 @@ STAGES = [
     ("sentencepiece", encoding_stage),
 ]
 
-#: Learnt models, near copies and Viterbi encoding can't be told in SQL; tests hold the stages against brute force.
+#: Learnt models, near copies and Viterbi encoding can't be told in SQL; a test holds the whole result against every
+#: stage in plain Python.
 ORACLE_SQL = None
 
 

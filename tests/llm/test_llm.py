@@ -704,12 +704,68 @@ def test_pipeline_stages(spark, odd, nothing):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "secrets", "sentencepiece"]
 
 
-def test_pipeline_result(spark, docs):
+def plain_decontaminated(text, items):
+    """None for a text that goes, else what is left of it."""
+    body = (text or "").encode()
+    places = [(m.start(), m.end()) for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", body)]
+    hit, _ = brute_hits(items, [body[s:e].lower() for s, e in places], decontaminate.WINDOW)
+    if 2 * len(hit) > len(places):
+        return None
+    gone = bytearray(len(body))
+    for i in hit:
+        e = places[i + 1][0] if i + 1 in hit else places[i][1]
+        gone[places[i][0] : e] = b"\1" * (e - places[i][0])
+    return bytes(c for c, g in zip(body, gone, strict=True) if not g).decode("utf-8", "replace")
+
+
+def plain_redacted(text, model):
+    spans = [(int(x.split(":")[1]), int(x.split(":")[2])) for x in base_spans(text).split(",") if x]
+    for m in re.finditer(secrets.TOKEN, text):
+        s = [secrets.ALPHABET.find(c) + 1 for c in m[0]]
+        mean = sum(model.ratios[a * secrets.STATES + b] for a, b in zip([0, *s], s, strict=False)) / len(s)
+        if mean >= model.least and not any(s < m.end() and m.start() < e for s, e in spans if (s, e) != m.span()):
+            spans.append(m.span())
+    out, at = [], 0
+    for s, e in sorted(set(spans)):
+        if s >= at:
+            out += [text[at:s], secrets.MASK]
+        at = max(at, e)
+    return "".join(out) + text[at:]
+
+
+def best_total(unit, scores, unknown, known={}):  # noqa: B006
+    """The best sum of scores over all splits of a unit."""
+    if unit not in known:
+        best = [0.0] + [-math.inf] * len(unit)
+        for j in range(1, len(unit) + 1):
+            for i in range(max(0, j - 16), j):
+                best[j] = max(best[j], best[i] + scores.get(unit[i:j], unknown if j == i + 1 else -math.inf))
+        known[unit] = best[-1]
+    return known[unit]
+
+
+def test_pipeline_against_brute_force(spark, docs):
+    """Every stage in plain Python, on what the stage before has left."""
     out = by_id(corpus_pipeline.run(spark, SF))
-    classes = by_id(minhash.classes(docs))
-    assert 0 < len(out) < docs.count()
     model = toxicity.train(docs, common.read(spark, SF, "labels"))
-    bad = {r.doc_id for r in toxicity.score(docs, model).where("predicted = 1").collect()}
-    assert not bad & set(out)
-    clean = {i for i, r in classes.items() if r.kept and i not in bad}
-    assert len(set(out) & clean) >= 0.9 * len(clean)
+    reader = model.grammar()
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    rows = [(i, t) for i, t in rows if t is None or sum(a * b for a, b in zip(model.weights, reader.features(t), strict=True)) < 0]
+    classes = brute_classes(rows, minhash.SHINGLE)
+    rows = [(i, t) for i, t in rows if classes[i][2]]
+    items = [(r.item_id, decontaminate.words((r.text or "").encode())) for r in common.read(spark, SF, "benchmark").collect()]
+    rows = [(i, x) for i, t in rows if (x := plain_decontaminated(t, items)) is not None]
+    scan = secrets.fit(secrets.samples(spark))
+    rows = {i: plain_redacted(t, scan) for i, t in rows}
+    assert set(out) == set(rows) and 0 < len(out) < docs.count()
+    pieces = piece_model.load(piece_model.model_bytes())
+    enc = sentencepiece.Encoder(pieces)
+    scores = {pieces.strings[i]: float(s) for i, s in zip(enc.ids, enc.scores, strict=True)}
+    assert enc.widest <= 16
+    for i, text in rows.items():
+        ids = list(out[i].pieces)
+        assert out[i].n_pieces == len(ids) and enc.decode(ids) == text.replace("▁", " ")
+        spelt = [pieces.strings[p] for p in ids]
+        unknown = sum(c not in scores for u in token_counts.cut(text) for c in u) if text else 0
+        want = sum(best_total(u, scores, enc.unknown) for u in token_counts.cut(text)) if text else 0.0
+        assert sum(scores.get(p, 0.0) for p in spelt) + unknown * enc.unknown == pytest.approx(want, abs=1e-6 * max(1, len(ids)))
