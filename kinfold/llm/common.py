@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold import storage
 from kinfold.session import ship
-from kinfold.storage import removed, shared_dir, written  # noqa: F401
+from kinfold.storage import removed, written  # noqa: F401
 
 #: Rows in one Arrow batch. Texts run to 100 KB and more, so Spark's 10,000 would be hundreds of MB a batch.
 ARROW_ROWS = 1000
@@ -47,6 +48,17 @@ def map_rows(df: DataFrame, make, schema: str, arrow_schema: pa.Schema) -> DataF
     return df.mapInArrow(run, schema)
 
 
+def forget(spark: SparkSession) -> None:
+    """Collect the driver's garbage: only then does Spark drop the shuffle files and broadcasts of finished plans, and the classes made for them."""
+    spark._jvm.System.gc()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A folder for an operator's tables, with what the operators before have left let go."""
+    forget(spark)
+    return storage.shared_dir(spark)
+
+
 def tidy() -> None:
     """Give freed memory back to the system at the end of a task: workers stay alive beside those of later stages."""
     pa.default_memory_pool().release_unused()

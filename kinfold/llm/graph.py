@@ -31,4 +31,5 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
         live = size != before or not after.join(now, ["u", "v"], "left_anti").isEmpty()  # both hold distinct edges
         common.removed(spark, f"{folder}/{name}_{i - 1}")
         now = after
+    common.forget(spark)
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
