@@ -246,16 +246,20 @@ def classes(docs: DataFrame, k: int = SHINGLE, link: tuple[int, int] = LINK, id_
     keys = nodes.select("node", "n", "key")
     step = iter(range(1, 4))
 
+    def sides(ys: DataFrame, xs: DataFrame, more: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Both sides with the columns of ``more``, written: what follows uses each several times over."""
+        return tuple(common.written(df.join(more, "node"), folder, f"{side}_{name}") for df, side in ((ys, "ys"), (xs, "xs")))
+
     def confirmed(ys: DataFrame, xs: DataFrame) -> DataFrame:
         i = next(step)
-        units = common.written(_units(ys, xs, keys), folder, f"units_{i}").join(texts, "node")
+        units = common.written(_units(*sides(ys, xs, keys, i)), folder, f"units_{i}").join(texts, "node")
         return common.written(compare(units, k, link), folder, f"links_{i}")
 
     # each member with its best pivot, then with the other pivots that are still apart
-    best = pairs.groupBy("node").agg(F.max(F.struct("score", "shared", "h")).alias("p")).select("node", F.col("p.h").alias("h"))
+    best = common.written(pairs.groupBy("node").agg(F.max(F.struct("score", "shared", "h")).alias("p")).select("node", F.col("p.h").alias("h")), folder, "best")
     links = confirmed(best.withColumn("comp", F.col("node")), best.select("h").distinct().select("h", F.col("h").alias("node"), F.col("h").alias("comp")))
     comps = graph.components(links, folder, "comps_1")
-    apart = _with_comps(pairs.select("node", "h").join(best, ["node", "h"], "left_anti"), comps).where("comp <> comp_h")
+    apart = common.written(_with_comps(pairs.select("node", "h").join(best, ["node", "h"], "left_anti"), comps).where("comp <> comp_h"), folder, "apart")
     hubs = apart.select("h", F.col("h").alias("node"), F.col("comp_h").alias("comp")).distinct()
     links = links.unionAll(confirmed(apart.select("node", "h", "comp"), hubs))
     comps = graph.components(links, folder, "comps_2")
@@ -264,10 +268,11 @@ def classes(docs: DataFrame, k: int = SHINGLE, link: tuple[int, int] = LINK, id_
     around = _with_comps(met.select("node", "h"), comps)
     mixed = around.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
     around = common.written(around.join(mixed, "h", "left_semi"), folder, "around")
-    live = common.written(near(_dealt(around.select("h", "node", "comp"), around.where("comp <> comp_h").select("h", "node", "comp"), there, F.ceil(F.count("*") / BLOCK_SIGNATURES)), link), folder, "live")
+    both = sides(around.select("h", "node", "comp"), around.where("comp <> comp_h").select("h", "node", "comp"), there, "near")
+    live = common.written(near(_dealt(*both, F.ceil(F.count("*") / BLOCK_SIGNATURES)), link), folder, "live")
     links = links.unionAll(confirmed(live.where("not is_x").drop("is_x"), live.where("is_x").drop("is_x")))
     comps = common.written(graph.components(links, folder, "comps_3"), folder, "comps")
-    for name in ("nodes", "member", "met", "pairs", "used", "texts", "around", "live", *(f"{x}_{i}" for x in ("units", "links") for i in (1, 2, 3))):
+    for name in ("nodes", "member", "met", "pairs", "used", "texts", "best", "apart", "around", "live", "xs_near", "ys_near", *(f"{x}_{i}" for x in ("xs", "ys", "units", "links") for i in (1, 2, 3))):
         common.removed(spark, f"{folder}/{name}")
 
     by_set = sets.join(comps, "node", "left").select("key", F.coalesce("comp", "node").alias("c"))
@@ -283,35 +288,35 @@ def _with_comps(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _with_pivots(rows: DataFrame, about: DataFrame) -> DataFrame:
-    """``rows`` (node, h, ...) with what ``about`` (h, ...) says of their pivots, if anything.
+    """``rows`` (node, h, ...) with what ``about`` (h, ...) says of their pivots, if anything."""
+    return _spread(rows, rows.select("h").distinct().join(about, "h", "left"))
 
-    A pivot's rows are dealt to PARTS parts and its one row goes to each, so no task gets all rows of a hot one.
-    """
-    used = rows.select("h").distinct().join(about, "h", "left")
-    used = used.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+
+def _spread(rows: DataFrame, about: DataFrame) -> DataFrame:
+    """``rows`` joined with ``about`` on h: a pivot's rows are dealt to PARTS parts and its one row goes to each, so no task gets all rows of a hot one."""
+    about = about.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     rows = rows.withColumn("__part", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int"))
-    return rows.join(used, ["h", "__part"]).drop("__part")
+    return rows.join(about, ["h", "__part"]).drop("__part")
 
 
-def _units(ys: DataFrame, xs: DataFrame, keys: DataFrame) -> DataFrame:
+def _units(ys: DataFrame, xs: DataFrame) -> DataFrame:
     """Units of a comparison on full sets, of about BLOCK shingles and BLOCK_TEXTS texts of each side."""
-    rows = _dealt(ys, xs, keys, F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count("*") / BLOCK_TEXTS)))
+    rows = _dealt(ys, xs, F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count("*") / BLOCK_TEXTS)))
     return rows.select("h", "xb", "yc", "is_x", "node", "comp", "key")
 
 
-def _dealt(ys: DataFrame, xs: DataFrame, more: DataFrame, n_blocks) -> DataFrame:
-    """Units of a comparison of the xs with the ys of each h, with the columns of ``more``.
+def _dealt(ys: DataFrame, xs: DataFrame, n_blocks) -> DataFrame:
+    """Units of a comparison of the xs with the ys of each h.
 
     Both are dealt over n_blocks blocks; an x goes to every block of ys and a y to every block of xs. No
     pairs are made here.
     """
-    ys, xs = ys.join(more, "node"), xs.join(more, "node")
     blocks = lambda df, name: df.groupBy("h").agg(n_blocks.cast("int").alias(name))
     sizes = blocks(xs, "nx").join(blocks(ys, "ny"), "h")
     mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    ys = _with_pivots(ys, sizes).where("nx is not null").withColumns({"is_x": F.lit(False), "yc": mine("ny"), "xb": every("nx")}).drop("nx", "ny")
-    xs = _with_pivots(xs, sizes).where("ny is not null").withColumns({"is_x": F.lit(True), "xb": mine("nx"), "yc": every("ny")}).drop("nx", "ny")
+    ys = _spread(ys, sizes).withColumns({"is_x": F.lit(False), "yc": mine("ny"), "xb": every("nx")}).drop("nx", "ny")
+    xs = _spread(xs, sizes).withColumns({"is_x": F.lit(True), "xb": mine("nx"), "yc": every("ny")}).drop("nx", "ny")
     return ys.unionByName(xs)
 
 
