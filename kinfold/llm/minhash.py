@@ -255,14 +255,19 @@ def classes(docs: DataFrame, k: int = SHINGLE, link: tuple[int, int] = LINK, id_
         units = common.written(_units(*sides(ys, xs, keys, i)), folder, f"units_{i}").join(texts, "node")
         return common.written(compare(units, k, link), folder, f"links_{i}")
 
+    def merged(comps: DataFrame, more: DataFrame, name: str) -> DataFrame:
+        """The components once ``more`` links have come: the old ones, each a star around its smallest node, are joined by them."""
+        if more.isEmpty():
+            return comps
+        return graph.components(comps.where("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v")).unionAll(more), folder, name)
+
     # each member with its best pivot, then with the other pivots that are still apart
     best = common.written(pairs.groupBy("node").agg(F.max(F.struct("score", "shared", "h")).alias("p")).select("node", F.col("p.h").alias("h")), folder, "best")
     links = confirmed(best.withColumn("comp", F.col("node")), best.select("h").distinct().select("h", F.col("h").alias("node"), F.col("h").alias("comp")))
     comps = graph.components(links, folder, "comps_1")
     apart = common.written(_with_comps(pairs.select("node", "h").join(best, ["node", "h"], "left_anti"), comps).where("comp <> comp_h"), folder, "apart")
     hubs = apart.select("h", F.col("h").alias("node"), F.col("comp_h").alias("comp")).distinct()
-    links = links.unionAll(confirmed(apart.select("node", "h", "comp"), hubs))
-    comps = graph.components(links, folder, "comps_2")
+    comps = merged(comps, confirmed(apart.select("node", "h", "comp"), hubs), "comps_2")
 
     # all that met a pivot, near to it or not: where components differ, those apart from the pivot against all
     around = _with_comps(met.select("node", "h"), comps)
@@ -270,8 +275,8 @@ def classes(docs: DataFrame, k: int = SHINGLE, link: tuple[int, int] = LINK, id_
     around = common.written(around.join(mixed, "h", "left_semi"), folder, "around")
     both = sides(around.select("h", "node", "comp"), around.where("comp <> comp_h").select("h", "node", "comp"), there, "near")
     live = common.written(near(_dealt(*both, F.ceil(F.count("*") / BLOCK_SIGNATURES)), link), folder, "live")
-    links = links.unionAll(confirmed(live.where("not is_x").drop("is_x"), live.where("is_x").drop("is_x")))
-    comps = common.written(graph.components(links, folder, "comps_3"), folder, "comps")
+    more = confirmed(live.where("not is_x").drop("is_x"), live.where("is_x").drop("is_x"))
+    comps = common.written(merged(comps, more, "comps_3"), folder, "comps")
     for name in ("nodes", "member", "met", "pairs", "used", "texts", "best", "apart", "around", "live", "xs_near", "ys_near", *(f"{x}_{i}" for x in ("xs", "ys", "units", "links") for i in (1, 2, 3))):
         common.removed(spark, f"{folder}/{name}")
 
