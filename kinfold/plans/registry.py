@@ -19,6 +19,7 @@ from kinfold.session import ship
 
 from . import fixtures as X0
 from . import runs as R
+from . import similarity_sql as Q
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -629,7 +630,27 @@ def pair_idf(spark, sf_dir):
     return rounded(df.select("s1_id", "cand_id", *[c.alias(n) for n, c in X.idf_features(F.col("w_a"), F.col("w_b")).items()]))
 
 
-@query("pair_similarities")
+SIMILAR = {"n_tsort": (Q.sorted_words("na"), Q.sorted_words("nb")), "n_concat_ratio": ("ca", "cb"), "n_skel": ("ka", "kb"), "n_clean_ratio": ("na", "nb"), "n_phon": ("pa", "pb"), "a_ratio": ("aa", "ab"), "a_street": ("ta", "tb")}
+
+
+def _similar_sql() -> str:
+    """Steps up to ``likeness``: the pairs of PAIR_SQL with all similarities; the records have neither aliases nor empty addresses of their own."""
+    windows, slide, slid = Q.partial("select ca as x, cb as y from both_sides")
+    ratios = " union ".join([*(f"select {x} as x, {y} as y from both_sides" for x, y in SIMILAR.values()), slide])
+    sets = "select na as x, nb as y from both_sides union select aa, ab from both_sides"
+    no_address = "aa = '' or ab = ''"
+    given = lambda n, v: f"case when {no_address} then -1.0 else {v} end as {n}" if n.startswith("a_") else f"{v} as {n}"
+    columns = ", ".join([given("n_tset", "s1.v"), given("a_tset", "s2.v"), "p.v as n_concat_partial", f"{Q.winkler('ca', 'cb')} as n_jw", "-1.0::double as n_alias", *(given(n, f"r_{n}.r") for n in SIMILAR)])
+    joins = " ".join(f"join rated r_{n} on r_{n}.x = {x} and r_{n}.y = {y}" for n, (x, y) in SIMILAR.items())
+    return f"""{PAIR_SQL}, both_sides as (select f.*, a.name_skel as ka, b.name_skel as kb, a.name_phon as pa, b.name_phon as pb, a.street as ta, b.street as tb, a.country as country_a, b.country as country_b from f join plain a on a.entity_id = s1_id join plain b on b.entity_id = cand_id),
+{windows}, {Q.steps(ratios, sets)}, {slid},
+likeness as (select f.*, {columns} from both_sides f join token_sets s1 on s1.x = na and s1.y = nb join token_sets s2 on s2.x = aa and s2.y = ab join slid p on p.x = ca and p.y = cb {joins})"""
+
+
+SIMILAR_COLUMNS = ["n_tset", "a_tset", "n_concat_partial", "n_jw", "n_alias", *SIMILAR]
+
+
+@query("pair_similarities", f"{_similar_sql()} select s1_id, cand_id, {', '.join(f'round({c}, 6) as {c}' for c in SIMILAR_COLUMNS)} from likeness")
 def pair_similarities(spark, sf_dir):
     df = X.with_attributes(_cands(spark, sf_dir), X0.plain(spark, sf_dir))
     return rounded(df.select("s1_id", "cand_id", *[c.alias(n) for n, c in X.similarity_features().items()]))
@@ -643,7 +664,15 @@ def pair_features(spark, sf_dir):
     return rounded(X.pair_features(storage.written(B.build_candidates(keys), folder, "candidates"), norm))
 
 
-@query("sibling_features")
+_SIBLINGS = f"""with {CANDS_SQL}, scores as (select s1_id, cand_id, least(1.0, len(keys) / 8.0)::double as p1 from cands),
+top as (select s1_id, cand_id as sib from scores where p1 >= {X.STRONG} qualify row_number() over (partition by s1_id order by p1 desc, cand_id) <= {X.SIBLINGS}),
+likes as (select s1_id, s.cand_id, a.name_core as n1, b.name_core as n2, a.addr_clean as a1, b.addr_clean as a2 from scores s join top using (s1_id) join plain a on a.entity_id = s.cand_id join plain b on b.entity_id = sib where s.cand_id <> sib and p1 >= {X.LIVE}),
+{Q.steps("select '' as x, '' as y", "select n1 as x, n2 as y from likes union select a1, a2 from likes")},
+best as (select s1_id, cand_id, max(n.v) as sib_name_max, max(case when a1 = '' or a2 = '' then -1.0 else a.v end) as sib_addr_max, count(*) as sib_n from likes join token_sets n on n.x = n1 and n.y = n2 join token_sets a on a.x = a1 and a.y = a2 group by 1, 2)
+select s1_id, cand_id, round(p1, 6) as p1, round(coalesce(sib_name_max, -1.0), 6) as sib_name_max, round(coalesce(sib_addr_max, -1.0), 6) as sib_addr_max, coalesce(sib_n, 0)::int as sib_n from scores left join best using (s1_id, cand_id)"""
+
+
+@query("sibling_features", _SIBLINGS)
 def sibling_features(spark, sf_dir):
     norm = X0.plain(spark, sf_dir)
     df = X.with_attributes(_cands(spark, sf_dir), norm, ["name_concat"])
