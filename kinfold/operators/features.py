@@ -139,10 +139,10 @@ def with_frequencies(pairs: DataFrame, norm: DataFrame) -> DataFrame:
 
 
 def with_s1_context(df: DataFrame) -> DataFrame:
-    """Adds s1_ncands, rank_in_s1 and gap_to_best_s1 by a cheap combined similarity."""
+    """Adds s1_ncands, rank_in_s1 and gap_to_best_s1 by a cheap combined similarity, to nine places, so that equal pairs are equal in whatever order weights were summed."""
     w = Window.partitionBy("s1_id")
     cheap = F.col("n_tset") + F.col("n_concat_ratio") + F.col("n_idf_overlap") + F.greatest("a_tset", F.lit(0.0))
-    df = df.withColumn("__s", cheap)
+    df = df.withColumn("__s", F.round(cheap, 9))
     return df.withColumns({"s1_ncands": F.count("*").over(w), "rank_in_s1": F.rank().over(w.orderBy(F.desc("__s"))), "gap_to_best_s1": F.max("__s").over(w) - F.col("__s")}).drop("__s")
 
 

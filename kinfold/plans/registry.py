@@ -600,16 +600,27 @@ def target_counts(spark, sf_dir):
 PAIR_SQL = f"""with {CANDS_SQL}, f as (select s1_id, cand_id, keys, a.name_core as na, b.name_core as nb, a.house_no as ha, b.house_no as hb, a.name_concat as ca, b.name_concat as cb, a.addr_clean as aa, b.addr_clean as ab from cands join plain a on a.entity_id = s1_id join plain b on b.entity_id = cand_id)"""
 
 
-@query("pair_features_exact", f"""{PAIR_SQL} select s1_id, cand_id, round(abs(length(na) - length(nb)) / greatest(length(na), length(nb), 1), 6) as n_len_diff, (length(na) - length(replace(na, ' ', '')) + 1)::int as n_tok_a, (length(nb) - length(replace(nb, ' ', '')) + 1)::int as n_tok_b,
-  case when ha = '' or hb = '' then -1 else (ha = hb)::int end as house_eq,
-  case when ha = '' or hb = '' then -1 when ha = hb then 2 else (levenshtein(ha, hb) <= 1 or starts_with(ha, hb) or starts_with(hb, ha) or ends_with(ha, hb) or ends_with(hb, ha))::int end as house_near,
-  case when ha = '' or hb = '' then -1.0 else (ha = hb)::int::double end as nums_jacc, (aa = '' or ab = '')::int as addr_empty, (cand_id[1:2] = 'S3')::int as is_s3, len(keys)::int as n_keys,
-  list_contains(keys, 'tok')::int as k_tok, list_contains(keys, 'full')::int as k_full from f""")
+#: Features of plain records without similarities.
+EXACT_SQL = {
+    "n_len_diff": "abs(length(na) - length(nb)) / greatest(length(na), length(nb), 1)",
+    "n_tok_a": "(length(na) - length(replace(na, ' ', '')) + 1)::int",
+    "n_tok_b": "(length(nb) - length(replace(nb, ' ', '')) + 1)::int",
+    "legal_same": "0", "legal_conflict": "0", "legal_missing": "1", "dom_any": "0", "translit_any": "0", "post_eq": "-1",
+    "house_eq": "case when ha = '' or hb = '' then -1 else (ha = hb)::int end",
+    "house_near": "case when ha = '' or hb = '' then -1 when ha = hb then 2 else (levenshtein(ha, hb) <= 1 or starts_with(ha, hb) or starts_with(hb, ha) or ends_with(ha, hb) or ends_with(hb, ha))::int end",
+    "nums_jacc": "case when ha = '' or hb = '' then -1.0 else (ha = hb)::int::double end",
+    "addr_empty": "(aa = '' or ab = '')::int", "addr_empty_s1": "(aa = '')::int", "addr_empty_t": "(ab = '')::int",
+    "is_s3": "(cand_id[1:2] = 'S3')::int", "n_keys": "len(keys)::int",
+    **{f"k_{k}": f"list_contains(keys, '{k}')::int" for k in T.KEY_KINDS},
+}
+EXACT = "n_len_diff n_tok_a n_tok_b house_eq house_near nums_jacc addr_empty is_s3 n_keys k_tok k_full".split()
+
+
+@query("pair_features_exact", f"{PAIR_SQL} select s1_id, cand_id, {', '.join(f'round({v}, 6) as {c}' if c == 'n_len_diff' else f'{v} as {c}' for c, v in EXACT_SQL.items() if c in EXACT)} from f")
 def pair_features_exact(spark, sf_dir):
     df = X.with_attributes(_cands(spark, sf_dir), X0.plain(spark, sf_dir))
-    wanted = "n_len_diff n_tok_a n_tok_b house_eq house_near nums_jacc addr_empty is_s3 n_keys k_tok k_full".split()
     exact = X.exact_features()
-    return rounded(df.select("s1_id", "cand_id", *[exact[c].alias(c) for c in wanted]))
+    return rounded(df.select("s1_id", "cand_id", *[exact[c].alias(c) for c in EXACT]))
 
 
 @query("pair_jaro_winkler", f"{PAIR_SQL} select s1_id, cand_id, round(case when x = y then 1.0 when x = '' or y = '' then 0.0 else jaro_winkler_similarity(x, y) end, 6) as n_jw from (select *, regexp_replace(ca, '[^a-z0-9]', '', 'g') as x, regexp_replace(cb, '[^a-z0-9]', '', 'g') as y from f)")
@@ -656,6 +667,49 @@ def pair_similarities(spark, sf_dir):
     return rounded(df.select("s1_id", "cand_id", *[c.alias(n) for n, c in X.similarity_features().items()]))
 
 
+_SHARED_IDF = ["n_idf_overlap", "n_shared_max_idf", "n_unshared_max_idf"]
+_COUNTED = {"nf_s1_a": "x.n_s1", "nf_s1_b": "y.n_s1", "nf_s1_lg_b": "y.n_s1", "nf_t_b": "y.n_t"}
+
+
+def _wide_sql() -> str:
+    """Steps up to ``wide``: all features but the context, of plain records, which have no legal forms, domains or postcodes: then frequencies with the legal form are those of the name."""
+    known = ["n_tset", "a_tset", "n_concat_partial", "n_jw", "n_alias", *SIMILAR]
+    exact = ", ".join(f"{v} as {n}" for n, v in EXACT_SQL.items())
+    return f"""{_similar_sql()},
+tok_idf as (select country, tok, ln((select count(*) from plain) / count(*)) as idf from (select country, unnest(string_split(name_core, ' ')) as tok from plain) where tok <> '' group by 1, 2),
+own_idf as (select distinct entity_id, tok, idf from (select entity_id, country, unnest(string_split(name_core, ' ')) as tok from plain) join tok_idf using (country, tok)),
+met_idf as (select s1_id, cand_id, tok, max(idf) as idf, count(*) as n from (select s1_id, cand_id, tok, idf from f join own_idf on entity_id = s1_id union all select s1_id, cand_id, tok, idf from f join own_idf on entity_id = cand_id) group by 1, 2, 3),
+pair_idf as (select s1_id, cand_id, coalesce(sum(idf) filter (where n = 2), 0) / sum(idf) as n_idf_overlap, coalesce(max(idf) filter (where n = 2), 0) as n_shared_max_idf, coalesce(max(idf) filter (where n = 1), 0) as n_unshared_max_idf from met_idf group by 1, 2),
+named as (select country, name_concat, count(*) filter (where src = 'S1') as n_s1, count(*) filter (where src <> 'S1') as n_t from plain group by 1, 2),
+targets as (select cand_id, count(*) as t_ncands from cands group by 1),
+wide as (
+  select s1_id, cand_id, t_ncands, {", ".join(known)}, {exact}, {", ".join(f"coalesce({v}, 0) as {n}" for n, v in _COUNTED.items())},
+    {", ".join(f"case when na = '' or nb = '' then 0 else coalesce({c}, 0) end as {c}" for c in _SHARED_IDF)}
+  from likeness join targets using (cand_id) left join pair_idf using (s1_id, cand_id)
+  left join named x on x.country = country_a and x.name_concat = ca left join named y on y.country = country_b and y.name_concat = cb
+  where keys <> ['tok']
+)"""
+
+
+def _features_sql() -> str:
+    whole = [c for c in [*EXACT_SQL, *_COUNTED, "t_ncands", "s1_ncands", "rank_in_s1"] if c not in ("n_len_diff", "nums_jacc")]
+    final = ", ".join(c if c in whole else f"round({c}, 6) as {c}" for c in X.FEATURES)
+    return f"""{_wide_sql()}, ranked as (select *, round(n_tset + n_concat_ratio + n_idf_overlap + greatest(a_tset, 0.0), 9) as s from wide)
+select s1_id, cand_id, {final} from (select *, count(*) over (partition by s1_id) as s1_ncands, (rank() over (partition by s1_id order by s desc))::int as rank_in_s1, max(s) over (partition by s1_id) - s as gap_to_best_s1 from ranked)"""
+
+
+@query("pair_features_plain", _features_sql())
+def pair_features_plain(spark, sf_dir):
+    """All features of all candidates of records by rules that SQL can repeat."""
+    return rounded(X.pair_features(_cands(spark, sf_dir), X0.plain(spark, sf_dir)))
+
+
+@query("interactions", f"{_wide_sql()} select s1_id, cand_id, round(n_tset * least(greatest(a_tset, 0.0), 1.0), 6) as x_name_addr, (n_concat_ratio >= 0.999 and addr_empty = 1)::int as x_exact_name_noaddr, round(least(n_tset, case when a_tset < 0 then n_tset else a_tset end), 6) as x_name_min_addr from wide")
+def interactions(spark, sf_dir):
+    df = X.interactions(X.pair_features(_cands(spark, sf_dir), X0.plain(spark, sf_dir)))
+    return rounded(df.select("s1_id", "cand_id", "x_name_addr", "x_exact_name_noaddr", "x_name_min_addr"))
+
+
 @query("pair_features")
 def pair_features(spark, sf_dir):
     """All features of all candidates of the fully normalised records."""
