@@ -18,6 +18,7 @@ from kinfold.operators import validate as V
 from kinfold.session import ship
 
 from . import fixtures as X0
+from . import normal_sql as N
 from . import runs as R
 from . import similarity_sql as Q
 
@@ -433,12 +434,12 @@ def dev_subset(spark, sf_dir):
     return P.dev_subset(X0.records(spark, sf_dir), X0.truth_pairs(spark, sf_dir)).select("entity_id", "src", "country")
 
 
-@query("normalized_names")
+@query("normalized_names", N.NAMES)
 def normalized_names(spark, sf_dir):
     return X0.normalized(spark, sf_dir).select("entity_id", "name_clean", "name_core", "name_concat", "name_skel", "name_phon", "legal", "is_domain", "is_translit", "alias_core")
 
 
-@query("normalized_addresses")
+@query("normalized_addresses", N.ADDRESSES)
 def normalized_addresses(spark, sf_dir):
     return X0.normalized(spark, sf_dir).select("entity_id", "addr_clean", "house_no", "addr_nums", "street", "postcode")
 
