@@ -72,6 +72,40 @@ records as (
 )"""
 
 
+#: Names and addresses with what texts of documents lack: legal forms, initials, domains, handles, other names, digits for letters, abbreviations, junk, postcodes.
+ODD_RECORDS = [
+    ("Acme Widgets Private Limited", "12 Main St., N/A, Springfield, 560001", "India"),
+    ("The A B C Trading Co. & Sons", "Flat 7, 0012 Park Ave, null, New York 10001", "US"),
+    ("www.blue-sky-foods.com", "3 r de la Paix, 75 002 Paris", "France"),
+    ("@golden_gate", "", "US"),
+    ("Smith's Bakery d/b/a Jones & Co LLC", "#45 Oak Blvd, apt 6, 94107-1234", "US"),
+    ("M/S Shree Ram Traders Pvt. Ltd.", "Plot No 9, Sec 21, Opp Market, 110 001 Delhi", "India"),
+    ("Gr33n L3af Foods", "unknown", "US"),
+    ("Société Générale S.A.R.L. et Cie", "ZI Nord, 5 bd Voltaire, 69003 Lyon", "France"),
+    ("ltd", "000, 007 Bond", "UK"),
+    ("null", "null, n/a", ""),
+    ("  <Café> Zoë formerly Chez Zoë  ", "No. 10, Rue Émile, 1234567", "France"),
+    ("L L C Holdings inc opc private limited", "12 12 12, 34 Elm Ct, 12", "US"),
+    ("the of and", "Near Post Office, Vill Rampur, Dist Patna 800020", "India"),
+    ("http://shop.example.co.in/path", "1 a, 2 b, bb", "India"),
+    ("x 1 y 2 z", "Bldg 5; Fl 3 / Ste 200", "US"),
+    ("", "", None),
+    (None, None, None),
+]
+
+
+def odd_records(spark: SparkSession) -> DataFrame:
+    rows = [(f"S{i % 3 + 1}-{i}", *r) for i, r in enumerate(ODD_RECORDS)]
+    return spark.createDataFrame(rows, "entity_id string, business_name string, business_address string, country string")
+
+
+def _literal(x: str | None) -> str:
+    return "null" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+ODD_SQL = f"""records as (select * from (values {", ".join(f"('S{i % 3 + 1}-{i}', {', '.join(map(_literal, r))})" for i, r in enumerate(ODD_RECORDS))}) as t(entity_id, business_name, business_address, country))"""
+
+
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The normalised table of the records by the full normaliser."""
     return kept(spark, sf_dir, "normalized", lambda: text.normalize_records(records(spark, sf_dir)))

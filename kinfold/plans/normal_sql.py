@@ -72,7 +72,8 @@ n6 as (select entity_id, name_clean, a.core as name_core, replace(a.core, ' ', '
   from cleaned join stripped a on a.x = name_clean join stripped b on b.x = alias)"""
 
 
-NAMES = f"""with {X0.RECORDS_SQL}, {_names()}
+def names(records: str) -> str:
+    return f"""with {records}, {_names()}
 select *, {X0._runs_sql("regexp_replace(name_concat, '[aeiouyh]', '', 'g')")} as name_skel, {X0._phonetic_sql("name_concat")} as name_phon from n6"""
 
 
@@ -94,6 +95,7 @@ def quoted_translate(x: str) -> str:
     return f"translate({x}, '#''', '  ')"
 
 
-ADDRESSES = rf"""with {X0.RECORDS_SQL}, {_addresses()}
+def addresses(records: str) -> str:
+    return rf"""with {records}, {_addresses()}
 select entity_id, addr_clean, coalesce(regexp_extract(numbered, '^(\d+)', 1), nums[1], '') as house_no, {text_of("list_sort(list_distinct([n for n in nums if n <> postcode]))")} as addr_nums,
   coalesce(regexp_extract(numbered, '^\d+\s+([a-z].*)$', 1), longest) as street, postcode from a5"""

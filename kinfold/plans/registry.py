@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinfold import storage
 from kinfold.functions import similarity as S
 from kinfold.functions import tables as T
+from kinfold.functions import text
 from kinfold.operators import blocking as B
 from kinfold.operators import decode as D
 from kinfold.operators import evaluate as E
@@ -434,14 +435,30 @@ def dev_subset(spark, sf_dir):
     return P.dev_subset(X0.records(spark, sf_dir), X0.truth_pairs(spark, sf_dir)).select("entity_id", "src", "country")
 
 
-@query("normalized_names", N.NAMES)
+NAME_COLUMNS = ["entity_id", "name_clean", "name_core", "name_concat", "name_skel", "name_phon", "legal", "is_domain", "is_translit", "alias_core"]
+ADDRESS_COLUMNS = ["entity_id", "addr_clean", "house_no", "addr_nums", "street", "postcode"]
+
+
+@query("normalized_names", N.names(X0.RECORDS_SQL))
 def normalized_names(spark, sf_dir):
-    return X0.normalized(spark, sf_dir).select("entity_id", "name_clean", "name_core", "name_concat", "name_skel", "name_phon", "legal", "is_domain", "is_translit", "alias_core")
+    return X0.normalized(spark, sf_dir).select(*NAME_COLUMNS)
 
 
-@query("normalized_addresses", N.ADDRESSES)
+@query("normalized_addresses", N.addresses(X0.RECORDS_SQL))
 def normalized_addresses(spark, sf_dir):
-    return X0.normalized(spark, sf_dir).select("entity_id", "addr_clean", "house_no", "addr_nums", "street", "postcode")
+    return X0.normalized(spark, sf_dir).select(*ADDRESS_COLUMNS)
+
+
+@query("normalized_odd_names", N.names(X0.ODD_SQL))
+def normalized_odd_names(spark, sf_dir):
+    """Legal forms, initials, domains, other names and digits for letters, which the tables' texts do not hold."""
+    return text.normalize_records(X0.odd_records(spark)).select(*NAME_COLUMNS)
+
+
+@query("normalized_odd_addresses", N.addresses(X0.ODD_SQL))
+def normalized_odd_addresses(spark, sf_dir):
+    """Abbreviations by country, junk, leading zeros and postcodes, which the tables' texts do not hold."""
+    return text.normalize_records(X0.odd_records(spark)).select(*ADDRESS_COLUMNS)
 
 
 @query("sound_keys", f"with {X0.PLAIN_SQL} select entity_id, name_skel, name_phon from plain")
