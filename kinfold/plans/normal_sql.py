@@ -99,3 +99,30 @@ def addresses(records: str) -> str:
     return rf"""with {records}, {_addresses()}
 select entity_id, addr_clean, coalesce(regexp_extract(numbered, '^(\d+)', 1), nums[1], '') as house_no, {text_of("list_sort(list_distinct([n for n in nums if n <> postcode]))")} as addr_nums,
   coalesce(regexp_extract(numbered, '^\d+\s+([a-z].*)$', 1), longest) as street, postcode from a5"""
+
+
+#: Names in Indic scripts: whole words of the table, syllables, spellings of legal forms, digits, dotted letters.
+INDIC_NAMES = [
+    "राम ट्रेडर्स प्राइवेट लिमिटेड", "श्री कृष्णा फूड्स", "अमृत दुग्ध केंद्र", "गौरव संस्कृति भवन", "ज़रीना बाज़ार", "मदन २०२४", "દિલીપ પ્રાયવેટ લિમિટેડ", "রবীন্দ্র ভবন", "ராஜா மளிகை",
+    "తెలుగు సంఘం", "ಮೈಸೂರು ಸಿಲ್ಕ್", "ਪੰਜਾਬ ਢਾਬਾ", "കേരള ആയുർവേദ", "ABC राम Pvt", "दुःख हरण", "plain name", "", "प्रा. लि. न्यू भारत",
+]
+
+
+def transliterated() -> str:
+    """Word by word: a known word, else letter by letter (a consonant before another or a nasal has an "a"), then the legal forms."""
+    import unicodedata
+
+    bases = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in range(0x900, 0x980) if len(unicodedata.normalize("NFD", chr(c))) > 1}
+    plain = f"replace(translate(w, {quoted(''.join(bases))}, {quoted(''.join(bases.values()))}), {quoted(T.NUKTA)}, '')"
+    consonants, closes = listed(T.CONSONANTS), listed([*T.CONSONANTS, *T.NASALS])
+    rest = T.VOWELS | T.VOWEL_SIGNS | dict.fromkeys(T.NASALS, "n") | dict.fromkeys((T.VISARGA, T.HALANT, T.NUKTA), "") | {chr(0x966 + i): str(i) for i in range(10)}
+    letter = f"case when list_contains({consonants}, c) then {mapped(T.CONSONANTS)}[c] || case when i < len(cs) and list_contains({closes}, cs[i + 1]) then 'a' else '' end else coalesce({mapped(rest)}[c], c) end"
+    legal = " ".join(f"when regexp_full_match(r, {quoted(p)}) then {quoted(word)}" for p, word in T.TRANSLITERATED_LEGAL)
+    names = ", ".join(f"({i}, {quoted(x)})" for i, x in enumerate(INDIC_NAMES))
+    return rf"""with names as (select * from (values {names}) as t(name_id, name)),
+moved as (select name_id, name, {text_of("[case when ord(c) between 2432 and 3455 then chr(2304 + ord(c) % 128) else c end for c in string_split(name, '')]", "")} as s from names where regexp_matches(name, '[ऀ-ൿ]')),
+cut as (select name_id, unnest(x) as w, unnest(range(1, len(x) + 1)) as k from (select name_id, {words("s")} as x from moved)),
+split as (select *, string_split({plain}, '') as cs from cut),
+roman as (select name_id, k, coalesce({mapped(T.DEVANAGARI_WORDS)}[w], {text_of(f"[{letter} for c, i in cs]", "")}) as r from split),
+done as (select name_id, regexp_replace(string_agg(case {legal} else r end, ' ' order by k), '\blimit t\b', 'limited', 'g') as latin from roman group by 1)
+select name_id::int as name_id, lower(coalesce(latin, name)) as latin from names left join done using (name_id)"""

@@ -461,6 +461,12 @@ def normalized_odd_addresses(spark, sf_dir):
     return text.normalize_records(X0.odd_records(spark)).select(*ADDRESS_COLUMNS)
 
 
+@query("transliterated_names", N.transliterated())
+def transliterated_names(spark, sf_dir):
+    """Names in nine Indic scripts, in Latin letters."""
+    return spark.createDataFrame(list(enumerate(N.INDIC_NAMES)), "name_id int, name string").select("name_id", text.fold_name("name").alias("latin"))
+
+
 @query("sound_keys", f"with {X0.PLAIN_SQL} select entity_id, name_skel, name_phon from plain")
 def sound_keys(spark, sf_dir):
     return X0.plain(spark, sf_dir).select("entity_id", "name_skel", "name_phon")
