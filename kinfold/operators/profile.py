@@ -50,13 +50,13 @@ def dev_subset(records: DataFrame, truth: DataFrame, percent: int = 10) -> DataF
 
 
 def sample(df: DataFrame, id_col: str, fraction: float) -> DataFrame:
-    """A share of the rows that is the same in every run."""
-    return df.where(F.pmod(F.xxhash64(id_col), F.lit(1000)) < int(fraction * 1000))
+    """A share of the rows, the same in every run and any engine."""
+    return df.where(portable_bucket(F.col(id_col), 1000) < int(fraction * 1000))
 
 
 def split_of(c: Column, *shares: int) -> Column:
     """The split (0, 1, ...) of an id by its hash, with the given shares in per cent."""
-    at, out, upto = F.pmod(F.xxhash64(c), F.lit(100)), F.lit(len(shares) - 1), sum(shares[:-1])
+    at, out, upto = portable_bucket(c, 100), F.lit(len(shares) - 1), sum(shares[:-1])
     for i in reversed(range(len(shares) - 1)):
         out = F.when(at < upto, i).otherwise(out)
         upto -= shares[i]

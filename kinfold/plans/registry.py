@@ -758,6 +758,29 @@ def sibling_features(spark, sf_dir):
     return rounded(X.sibling_features(df, norm))
 
 
+@query("uncertain_band", f"with {X0.SCORED_SQL} select s1_id, cand_id, prob, round(ln(p / (1 - p)), 6) as z from (select *, least(greatest(prob, 1e-6), 1 - 1e-6) as p from c) where prob between 0.2 and 0.8")
+def uncertain_band(spark, sf_dir):
+    """Pairs that a second look would pay for, with their log-odds."""
+    df = L.band(X0.scored(spark, sf_dir), 0.2, 0.8, "prob")
+    return rounded(df.select("s1_id", "cand_id", "prob", L.logit(F.col("prob")).alias("z")))
+
+
+@query("deduplicated_candidates", "select l_orderkey as s1_id, l_suppkey as cand_id, max(round(l_quantity::double / 51.0, 6)) as prob from lineitem group by 1, 2")
+def deduplicated_candidates(spark, sf_dir):
+    """Pairs that are listed several times, by their highest score."""
+    rows = X0.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("s1_id"), F.col("l_suppkey").alias("cand_id"), F.round(F.col("l_quantity").cast("double") / 51.0, 6).alias("prob"))
+    return rounded(D.deduplicate(rows))
+
+
+@query("rerank_texts", f"""with {CANDS_SQL}, ids as (select s1_id as entity_id from cands union select cand_id from cands)
+select entity_id, concat_ws(' | ', business_name, business_address) as text from records join ids using (entity_id)""")
+def rerank_texts(spark, sf_dir):
+    """What a re-ranker reads of every record that is in a candidate pair."""
+    pairs = _cands(spark, sf_dir)
+    ids = pairs.select(F.col("s1_id").alias("entity_id")).union(pairs.select("cand_id")).distinct()
+    return L.texts(X0.records(spark, sf_dir), ids)
+
+
 @query("rerank_blend")
 def rerank_blend(spark, sf_dir):
     """A stand-in re-ranker on the uncertain pairs, blended with the first score."""
@@ -771,10 +794,16 @@ def rerank_blend(spark, sf_dir):
     return rounded(L.apply_blend(L.fit_blend(df), df))
 
 
-@query("random_sample", f"with {X0.RECORDS_SQL} select entity_id from records where ('0x' || substr(md5(entity_id), 1, 8))::bigint % 100 < 20")
+@query("random_sample", f"with {X0.RECORDS_SQL} select entity_id from records where ('0x' || substr(md5(entity_id), 1, 8))::bigint % 1000 < 200")
 def random_sample(spark, sf_dir):
     """A reproducible fifth of the records (this operator's purpose is to sample)."""
-    return X0.records(spark, sf_dir).where(E.portable_bucket(F.col("entity_id"), 100) < 20).select("entity_id")
+    return P.sample(X0.records(spark, sf_dir), "entity_id", 0.2).select("entity_id")
+
+
+@query("three_splits", f"with {X0.RECORDS_SQL} select entity_id, case when b < 50 then 0 when b < 75 then 1 else 2 end::int as split from (select entity_id, ('0x' || substr(md5(entity_id), 1, 8))::bigint % 100 as b from records)")
+def three_splits(spark, sf_dir):
+    """Entities to fit on, to calibrate on and to evaluate on."""
+    return X0.records(spark, sf_dir).select("entity_id", P.split_of(F.col("entity_id"), 50, 25, 25).alias("split"))
 
 
 _ALIGN = f"""with {KEPT}, g as (select grp as run, avg(score) as local, avg(h) as board from p group by 1), d as (select *, board - local as gap from g),
