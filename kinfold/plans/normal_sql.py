@@ -57,7 +57,7 @@ def _names() -> str:
         found += f",\nphrases{i} as (select x, replace(s, {p}, ' ') as s, case when contains(s, {p}) then list_append(l, {quoted(form)}) else l end as l from phrases{i - 1})"
     filler, legal = listed(T.HONORIFICS), mapped(T.LEGAL_WORDS)
     return rf"""
-n1 as (select entity_id, regexp_matches(business_name, '[ऀ-ൿ]') as is_translit, trim(regexp_replace(replace({folded("business_name")}, 'null', ' '), '^\s+|\s+$', '', 'g')) as s from records),
+n1 as (select entity_id, regexp_matches(coalesce(business_name, ''), '[ऀ-ൿ]') as is_translit, trim(regexp_replace(replace({folded("business_name")}, 'null', ' '), '^\s+|\s+$', '', 'g')) as s from records),
 n2 as (select entity_id, is_translit, starts_with(regexp_replace(s, '^[ \-<>#*]+', ''), '@') as handle, regexp_replace(s, '^[\W_]+|[\W_]+$', '', 'g') as s from n1),
 n3 as (select *, regexp_extract(s, {quoted(T.DOMAIN)}, 1) as domain from n2),
 n4 as (select entity_id, is_translit, handle or domain <> '' as is_domain, string_split_regex(case when domain <> '' then replace(domain, '-', ' ') else s end, {quoted(T.ALIAS_MARKS)}) as parts from n3),
