@@ -48,6 +48,15 @@ def map_rows(df: DataFrame, make, schema: str, arrow_schema: pa.Schema) -> DataF
     return df.mapInArrow(run, schema)
 
 
+def sorted_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """``left.join(right, on, how)`` by sorting, so no side goes through the driver.
+
+    Spark's guess of a size misses what explode and decompression add, tens of times over, and a broadcast
+    stays in the driver until its plan is collected.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def forget(spark: SparkSession) -> None:
     """Collect the driver's garbage: only then does Spark drop the shuffle files and broadcasts of finished plans, and the classes made for them."""
     spark._jvm.System.gc()

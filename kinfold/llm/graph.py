@@ -23,12 +23,12 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
         i += 1
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = common.sorted_join(both.where("v > u"), low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        small = common.sorted_join(large, low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         after = common.written(small, folder, f"{name}_{i}")
         before, size = size, after.count()
-        live = size != before or not after.join(now, ["u", "v"], "left_anti").isEmpty()  # both hold distinct edges
+        live = size != before or not common.sorted_join(after, now, ["u", "v"], "left_anti").isEmpty()  # both hold distinct edges
         common.removed(spark, f"{folder}/{name}_{i - 1}")
         now = after
     common.forget(spark)

@@ -215,44 +215,45 @@ def classes(docs: DataFrame, k: int = SHINGLE, link: tuple[int, int] = LINK, id_
     Two documents are linked when their sets of shingles share at least link[0] / link[1] of their union.
     Null and empty texts have no set and link with nothing; rows without an id take no part; rows that
     repeat are returned each, and an id that repeats with different texts counts as linked with itself.
-    All intermediate tables are written to the shared folder: there is no lineage to recompute.
+    All intermediate tables are written to the shared folder: there is no lineage to recompute. All joins
+    sort, as either side of each grows with the documents: nothing is broadcast.
     """
     spark = docs.sparkSession
     folder = common.shared_dir(spark)
     docs = docs.where(F.col(id_col).isNotNull())
     signed = common.written(signatures(docs, k, id_col, text_col), folder, "signed")
     sets = common.written(signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("node")), folder, "sets")
-    nodes = signed.join(sets.select(F.col("key").alias("k2"), "node"), (F.col("key") == F.col("k2")) & (F.col("doc_id") == F.col("node"))).dropDuplicates(["node"])
+    nodes = common.sorted_join(signed, sets.select(F.col("key").alias("k2"), "node"), (F.col("key") == F.col("k2")) & (F.col("doc_id") == F.col("node"))).dropDuplicates(["node"])
     nodes = common.written(nodes.select("node", "n", "key", "sig", "bands"), folder, "nodes")
 
     # buckets of two and more, the pivot of each, and the pairs of members with pivots
     spread = nodes.select("node", F.explode("bands").alias("b"))
     full = spread.groupBy("b").agg(F.count("*").alias("c")).where("c > 1")
-    member = common.written(spread.join(full, "b"), folder, "member")
+    member = common.written(common.sorted_join(spread, full, "b"), folder, "member")
     central = member.groupBy("node").agg(F.sum("c").alias("score"))
-    ranked = member.select("b", "node").join(central, "node")
+    ranked = common.sorted_join(member.select("b", "node"), central, "node")
     pivot = ranked.groupBy("b").agg(F.max(F.struct("score", (-F.col("node")).alias("minus"))).alias("p")).select("b", F.col("p.score").alias("score"), (-F.col("p.minus")).alias("h"))
-    met = member.select("b", "node").join(pivot, "b").where("node <> h").groupBy("node", "h", "score").agg(F.count("*").alias("shared"))
+    met = common.sorted_join(member.select("b", "node"), pivot, "b").where("node <> h").groupBy("node", "h", "score").agg(F.count("*").alias("shared"))
     met = common.written(met, folder, "met")
     size_ok = (F.least("n", "n_h") * link[1] >= F.greatest("n", "n_h") * link[0]) & (estimate(F.col("sig"), F.col("sig_h")) >= LEAST_ESTIMATE)
     there = nodes.select("node", "n", "sig")
-    pairs = _with_pivots(met.join(there, "node"), there.toDF("h", "n_h", "sig_h")).where(size_ok).select("node", "h", "score", "shared", "n", "n_h")
+    pairs = _with_pivots(common.sorted_join(met, there, "node"), there.toDF("h", "n_h", "sig_h")).where(size_ok).select("node", "h", "score", "shared", "n", "n_h")
     pairs = common.written(pairs, folder, "pairs")
 
     # the texts of members, once: what is compared is read from here, and Spark knows the size of either side
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("binary").alias("body"))
     used = common.written(met.select("node").union(met.select("h")).distinct(), folder, "used")
-    texts = common.written(texts.join(used, "node", "left_semi"), folder, "texts")
+    texts = common.written(common.sorted_join(texts, used, "node", "left_semi"), folder, "texts")
     keys = nodes.select("node", "n", "key")
     step = iter(range(1, 4))
 
     def sides(ys: DataFrame, xs: DataFrame, more: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """Both sides with the columns of ``more``, written: what follows uses each several times over."""
-        return tuple(common.written(df.join(more, "node"), folder, f"{side}_{name}") for df, side in ((ys, "ys"), (xs, "xs")))
+        return tuple(common.written(common.sorted_join(df, more, "node"), folder, f"{side}_{name}") for df, side in ((ys, "ys"), (xs, "xs")))
 
     def confirmed(ys: DataFrame, xs: DataFrame) -> DataFrame:
         i = next(step)
-        units = common.written(_units(*sides(ys, xs, keys, i)), folder, f"units_{i}").join(texts, "node")
+        units = common.sorted_join(common.written(_units(*sides(ys, xs, keys, i)), folder, f"units_{i}"), texts, "node")
         return common.written(compare(units, k, link), folder, f"links_{i}")
 
     def merged(comps: DataFrame, more: DataFrame, name: str) -> DataFrame:
@@ -265,14 +266,14 @@ def classes(docs: DataFrame, k: int = SHINGLE, link: tuple[int, int] = LINK, id_
     best = common.written(pairs.groupBy("node").agg(F.max(F.struct("score", "shared", "h")).alias("p")).select("node", F.col("p.h").alias("h")), folder, "best")
     links = confirmed(best.withColumn("comp", F.col("node")), best.select("h").distinct().select("h", F.col("h").alias("node"), F.col("h").alias("comp")))
     comps = graph.components(links, folder, "comps_1")
-    apart = common.written(_with_comps(pairs.select("node", "h").join(best, ["node", "h"], "left_anti"), comps).where("comp <> comp_h"), folder, "apart")
+    apart = common.written(_with_comps(common.sorted_join(pairs.select("node", "h"), best, ["node", "h"], "left_anti"), comps).where("comp <> comp_h"), folder, "apart")
     hubs = apart.select("h", F.col("h").alias("node"), F.col("comp_h").alias("comp")).distinct()
     comps = merged(comps, confirmed(apart.select("node", "h", "comp"), hubs), "comps_2")
 
     # all that met a pivot, near to it or not: where components differ, those apart from the pivot against all
     around = _with_comps(met.select("node", "h"), comps)
     mixed = around.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
-    around = common.written(around.join(mixed, "h", "left_semi"), folder, "around")
+    around = common.written(common.sorted_join(around, mixed, "h", "left_semi"), folder, "around")
     both = sides(around.select("h", "node", "comp"), around.where("comp <> comp_h").select("h", "node", "comp"), there, "near")
     live = common.written(near(_dealt(*both, F.ceil(F.count("*") / BLOCK_SIGNATURES)), link), folder, "live")
     more = confirmed(live.where("not is_x").drop("is_x"), live.where("is_x").drop("is_x"))
@@ -280,28 +281,28 @@ def classes(docs: DataFrame, k: int = SHINGLE, link: tuple[int, int] = LINK, id_
     for name in ("nodes", "member", "met", "pairs", "used", "texts", "best", "apart", "around", "live", "xs_near", "ys_near", *(f"{x}_{i}" for x in ("xs", "ys", "units", "links") for i in (1, 2, 3))):
         common.removed(spark, f"{folder}/{name}")
 
-    by_set = sets.join(comps, "node", "left").select("key", F.coalesce("comp", "node").alias("c"))
-    out = signed.select("doc_id", "n", "key").join(by_set, "key", "left")
+    by_set = common.sorted_join(sets, comps, "node", "left").select("key", F.coalesce("comp", "node").alias("c"))
+    out = common.sorted_join(signed.select("doc_id", "n", "key"), by_set, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"), (F.coalesce("c", "doc_id") == F.col("doc_id")).alias("kept"))
 
 
 def _with_comps(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     """Pairs (node, h) with the components of both (a node without links is its own)."""
     of = lambda a, b: comps.select(F.col("node").alias(a), F.col("comp").alias(b))
-    pairs = _with_pivots(pairs.join(of("node", "comp"), "node", "left"), of("h", "comp_h"))
+    pairs = _with_pivots(common.sorted_join(pairs, of("node", "comp"), "node", "left"), of("h", "comp_h"))
     return pairs.select("node", "h", F.coalesce("comp", "node").alias("comp"), F.coalesce("comp_h", "h").alias("comp_h"))
 
 
 def _with_pivots(rows: DataFrame, about: DataFrame) -> DataFrame:
     """``rows`` (node, h, ...) with what ``about`` (h, ...) says of their pivots, if anything."""
-    return _spread(rows, rows.select("h").distinct().join(about, "h", "left"))
+    return _spread(rows, common.sorted_join(rows.select("h").distinct(), about, "h", "left"))
 
 
 def _spread(rows: DataFrame, about: DataFrame) -> DataFrame:
     """``rows`` joined with ``about`` on h: a pivot's rows are dealt to PARTS parts and its one row goes to each, so no task gets all rows of a hot one."""
     about = about.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     rows = rows.withColumn("__part", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int"))
-    return rows.join(about, ["h", "__part"]).drop("__part")
+    return common.sorted_join(rows, about, ["h", "__part"]).drop("__part")
 
 
 def _units(ys: DataFrame, xs: DataFrame) -> DataFrame:
@@ -317,7 +318,7 @@ def _dealt(ys: DataFrame, xs: DataFrame, n_blocks) -> DataFrame:
     pairs are made here.
     """
     blocks = lambda df, name: df.groupBy("h").agg(n_blocks.cast("int").alias(name))
-    sizes = blocks(xs, "nx").join(blocks(ys, "ny"), "h")
+    sizes = common.sorted_join(blocks(xs, "nx"), blocks(ys, "ny"), "h")
     mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     ys = _spread(ys, sizes).withColumns({"is_x": F.lit(False), "yc": mine("ny"), "xb": every("nx")}).drop("nx", "ny")
@@ -328,7 +329,7 @@ def _dealt(ys: DataFrame, xs: DataFrame, n_blocks) -> DataFrame:
 def drop_copies(docs: DataFrame, k: int = SHINGLE, link: tuple[int, int] = LINK) -> DataFrame:
     """The rows of ``docs`` that are the smallest of their class, with all columns (rows without an id stay)."""
     gone = classes(docs, k, link).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return common.sorted_join(docs, gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

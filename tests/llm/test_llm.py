@@ -396,6 +396,19 @@ def test_minhash_nested_and_boilerplate_clusters(spark, monkeypatch):
             assert (r.n_shingles, r.component_id, r.kept) == want[r.doc_id]
 
 
+def test_minhash_broadcasts_nothing(spark, docs):
+    """The driver must not hold what grows with the documents, however small Spark takes it to be."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plans = lambda: spark._jsparkSession.sharedState().statusStore().executionsList()
+    each = lambda p: [p.apply(i) for i in range(p.size())]
+    before = max((x.executionId() for x in each(plans())), default=-1)
+    assert minhash.drop_copies(docs, 2).count() < docs.count()  # classes() and the join on what it returns
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    own = [x.physicalPlanDescription() for x in each(plans()) if x.executionId() > before]
+    assert any("SortMergeJoin" in x for x in own)
+    assert not [x for x in own if "BroadcastExchange" in x]
+
+
 def test_components_of_a_long_path(spark, tmp_path):
     """A path in an order that takes many rounds: nothing stops before the edges stay as they are."""
     order = np.random.default_rng(2).permutation(400)
